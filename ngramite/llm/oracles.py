@@ -53,3 +53,23 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """
 
 ORACLES = {"op5_chat_format": CHAT, "op6_mix_sources": MIX, "op8_warc_index": WARC}
+
+NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), p AS (
+  SELECT rid, doc_id, len(sh) AS n, unnest(sh) AS t FROM s
+), links AS (
+  SELECT a.rid AS x, b.rid AS y FROM p a JOIN p b ON a.t = b.t AND a.rid <> b.rid AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.rid, b.rid HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach(x, y) AS (
+  SELECT rid, rid FROM s UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id FROM s
+JOIN (SELECT reach.x AS rid, min(o.doc_id) AS component_id FROM reach JOIN s o ON reach.y = o.rid GROUP BY 1) c ON s.rid = c.rid
+"""
+
+ORACLES["op9_ngram_jaccard"] = NEAR
