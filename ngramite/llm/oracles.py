@@ -73,3 +73,34 @@ JOIN (SELECT reach.x AS rid, min(o.doc_id) AS component_id FROM reach JOIN s o O
 """
 
 ORACLES["op9_ngram_jaccard"] = NEAR
+
+LEAKS = r"""
+WITH m AS (
+  SELECT mask, row_number() OVER () AS mid FROM (VALUES ('111101101'), ('110110111'), ('101111011')) t(mask)
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
+), dp AS (
+  SELECT rid, w, unnest(range(1, len(w) - 7)) AS p FROM d WHERE len(w) >= 9
+), bp AS (
+  SELECT item_id, w, unnest(range(1, len(w) - 7)) AS p FROM b WHERE len(w) >= 9
+), ds AS (
+  SELECT rid, p, mid, array_to_string(list_transform(range(9), lambda k: CASE WHEN mask[k + 1] = '1' THEN w[p + k] ELSE '' END), ' ') AS seed FROM dp, m
+), bs AS (
+  SELECT item_id, p, mid, array_to_string(list_transform(range(9), lambda k: CASE WHEN mask[k + 1] = '1' THEN w[p + k] ELSE '' END), ' ') AS seed FROM bp, m
+), hits AS (
+  SELECT DISTINCT rid, item_id, ds.p - bs.p AS off FROM ds JOIN bs USING (mid, seed)
+), eq AS (
+  SELECT d.doc_id, h.item_id, len(b.w) AS n, list_transform(b.w, lambda x, j: CASE WHEN off + j >= 1 AND d.w[off + j] = x THEN 1 ELSE -3 END) AS s
+  FROM hits h JOIN d ON h.rid = d.rid JOIN b ON h.item_id = b.item_id
+), runs AS (
+  SELECT doc_id, item_id, n, list_reduce(list_transform(s, lambda x: [x, CASE WHEN x > 0 THEN 1 ELSE 0 END, 0]),
+    lambda a, x: [greatest(0, a[1] + x[1]), CASE WHEN a[1] + x[1] <= 0 THEN 0 ELSE a[2] + x[2] END,
+      greatest(a[3], CASE WHEN a[1] + x[1] <= 0 THEN 0 ELSE a[2] + x[2] END)], [0, 0, 0]) AS r FROM eq
+)
+SELECT doc_id, item_id, CAST(max(n) AS INT) AS item_words, CAST(max(r[3]) AS INT) AS matched FROM runs
+WHERE r[3] >= greatest(least(8, n), ceil(least(16, n) * 0.75)) GROUP BY doc_id, item_id
+"""
+
+ORACLES["op7_decontaminate"] = LEAKS

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, quality, token_counts, warc
+from . import chat, decontaminate, mixing, ngram_join, quality, token_counts, warc
 from .common import save, scratch_path, table
 
 
@@ -31,6 +31,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_position").orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("matched").alias("matched"))
+
+
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
