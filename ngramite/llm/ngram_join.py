@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import discard, partitions, save
 from .graph import components
 
-#: Tokens in a block of rows, tokens that a bucket should hold, members of a group, minimum hashes of a node.
-BLOCK_TOKENS, BUCKET_TOKENS, GROUP_SIZE, MIN_HASHES = 1_000_000, 1_000_000, 64, 4
+#: Tokens and rows in a block, tokens that a bucket should hold, members of a group, minimum hashes of a node.
+BLOCK_TOKENS, BLOCK_ROWS, BUCKET_TOKENS, GROUP_SIZE, MIN_HASHES = 1_000_000, 50_000, 1_000_000, 64, 4
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -85,8 +85,17 @@ def blob_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["bucket", "block", "kind", "a", "b", "c"])
 
 
-def scatter(n: int, bits: int):
-    """Rows (doc_id, text_key, text) -> blobs of each block of rows: its tokens by bucket, and what it needs afterwards."""
+def whole(text: bytes) -> Iterator[tuple[int, bytes]]:
+    yield 0, text
+
+
+def by_line(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """Number and bytes of each line; those without words are left out."""
+    return ((i, line) for i, line in enumerate(text.split(b"\n")) if line.strip())
+
+
+def scatter(n: int, bits: int, units=whole):
+    """Rows (doc_id, text_key, text) -> blobs of each block of units: its tokens by bucket, and what it needs afterwards."""
 
     def block(number: int, rows: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
         keys = [signature(s) for s in sets]
@@ -101,7 +110,7 @@ def scatter(n: int, bits: int):
         alone, many = starts[counts == 1], starts[counts > 1]
         repeated = np.repeat(counts > 1, counts)
         out = [(number % (1 << bits), number, LOCAL, pack(tokens[repeated]), pack(owner[repeated]), None)]
-        out.append((number % (1 << bits), number, META, ids(rows, 0), ids(rows, 1), b"".join(keys) + np.array([len(s) for s in sets], np.uint32).tobytes()))
+        out.append((number % (1 << bits), number, META, ids(rows, 0), ids(rows, 1), b"".join(keys) + np.array([len(s) for s in sets], np.uint32).tobytes() + np.array([r[2] for r in rows], np.uint32).tobytes()))
         for kind, at, second in ((ONE, alone, owner[alone]), (MANY, many, counts[counts > 1])):
             values = tokens[at]
             cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
@@ -114,12 +123,13 @@ def scatter(n: int, bits: int):
         number, rows, sets, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                sets.append(ngrams(word_hashes(row[2] or b""), n))
-                rows.append(row[:2])
-                size += len(sets[-1])
-                if size >= BLOCK_TOKENS or len(rows) >= 50_000:
-                    yield block(number, rows, sets)
-                    number, rows, sets, size = number + 1, [], [], 0
+                for line, unit in units(row[2] or b""):
+                    sets.append(ngrams(word_hashes(unit), n))
+                    rows.append((*row[:2], line))
+                    size += len(sets[-1])
+                    if size >= BLOCK_TOKENS or len(rows) >= BLOCK_ROWS:
+                        yield block(number, rows, sets)
+                        number, rows, sets, size = number + 1, [], [], 0
         if rows:
             yield block(number, rows, sets)
 
@@ -167,7 +177,7 @@ def blob_table() -> pa.Table:
     return pa.Table.from_batches([blob_rows([])])
 
 
-NODES = "doc_id long, text_key long, n long, key binary, tokens array<long>, mins array<long>"
+NODES = "doc_id long, text_key long, line long, n long, key binary, tokens array<long>, mins array<long>"
 
 
 def assemble_block(share: int):
@@ -179,7 +189,8 @@ def assemble_block(share: int):
         for r in group.to_pylist():
             if r["kind"] == META:
                 doc_ids, text_keys = ids_back(r["a"]), ids_back(r["b"])
-                keys, n = r["c"][: 16 * len(doc_ids)], np.frombuffer(r["c"], np.uint32, offset=16 * len(doc_ids)).astype(np.int64)
+                keys = r["c"][: 16 * len(doc_ids)]
+                n, line = np.frombuffer(r["c"], np.uint32, offset=len(keys)).astype(np.int64).reshape(2, -1)
             elif r["kind"] == LOCAL:
                 later = {"token": unpack(r["a"], np.uint64), "owner": unpack(r["b"], np.uint32)}
             elif r["kind"] == ONE:
@@ -208,8 +219,8 @@ def assemble_block(share: int):
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(token.view(np.int64)), mask=mask)
         low = np.concatenate(([0], np.cumsum(np.where(enough, MIN_HASHES, 0)))).astype(np.int32)
         low_values = np.stack(mins, 1).ravel() if len(mins) else np.empty(0, np.int64)
-        names = ["doc_id", "text_key", "n", "key", "tokens", "mins"]
-        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(text_keys, pa.int64()), pa.array(n), pa.array([keys[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary()), lists, pa.ListArray.from_arrays(pa.array(low), pa.array(low_values), mask=mask)], names)
+        names = ["doc_id", "text_key", "line", "n", "key", "tokens", "mins"]
+        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(text_keys, pa.int64()), pa.array(line), pa.array(n), pa.array([keys[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary()), lists, pa.ListArray.from_arrays(pa.array(low), pa.array(low_values), mask=mask)], names)
 
     return run
 
@@ -292,27 +303,46 @@ def open_groups(nodes: DataFrame, held: DataFrame, labels: DataFrame, share: int
     return verify(pairs.select(F.col("key").alias("a"), F.col("member").alias("b")), nodes, share)
 
 
+def unit_classes(docs: DataFrame, n: int, share: int, id_col: str, text_col: str, units) -> DataFrame:
+    """doc_id, text_key, line, n, comp for each unit: comp is the same for units that links connect, null without words."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), docs[text_col].cast("binary").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(size / 6 / BUCKET_TOKENS, partitions(docs), 1)))))
+    blobs = rows.mapInArrow(scatter(n, bits, units), BLOBS)
+    counted = blobs.groupBy("bucket").applyInArrow(count_bucket, BLOBS)
+    table = save(counted.groupBy("block").applyInArrow(assemble_block(share), NODES), "nodes")
+    nodes = save(table.where("tokens is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("mins").alias("mins")), "sets")
+    _, labels = link_nodes(nodes, share)
+    held = labelled(table.select("doc_id", "text_key", "line", "n", "key"), labels)
+    return held.select("doc_id", "text_key", "line", "n", F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
+
+
 def near_classes(docs: DataFrame, n: int = 5, share: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: doc_id, text_key, n_shingles, component_id, first_key.
 
     Rows link when 100 * intersection >= share * union of their n-gram sets; component_id is the smallest doc_id (null
     only if all are null) that links reach, the row's own included. Rows without words (null, empty or blank texts) have
     an empty set, no links and their own doc_id. Fewer words than n make one token. Repeated rows, and rows that share an
-    id, are rows of their own. text_key is xxhash64 of the text; (component_id, first_key) is the smallest (doc_id,
-    text_key) of the class, nulls first. Other columns are not read. An empty table gives an empty result.
+    id, are rows of their own. text_key is xxhash64 of the text; first is the smallest (doc_id, text_key) of the class,
+    nulls first. Other columns are not read. An empty table gives an empty result.
     docs must come from storage, or anything else that gives a partition's rows in the same order when it is read again.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), docs[text_col].cast("binary").alias("text"))
-    words = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(words / 6 / BUCKET_TOKENS, partitions(docs), 1)))))
-    blobs = rows.mapInArrow(scatter(n, bits), BLOBS)
-    counted = blobs.groupBy("bucket").applyInArrow(count_bucket, BLOBS)
-    table = save(counted.groupBy("block").applyInArrow(assemble_block(share), NODES), "nodes")
-    nodes = save(table.where("tokens is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("mins").alias("mins")), "sets")
-    links, labels = link_nodes(nodes, share)
-    held = labelled(table.select("doc_id", "text_key", "n", "key"), labels)
-    full = held.where("n > 0")
+    held = unit_classes(docs, n, share, id_col, text_col, whole)
+    full = held.where("comp is not null")
     least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "text_key")).alias("first"))
-    done = full.join(least, "comp").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("first.text_key").alias("first_key"))
-    alone = held.where("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("text_key").alias("first_key"))
+    done = full.join(least, "comp").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "first")
+    alone = held.where("comp is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.struct("doc_id", "text_key").alias("first"))
     return done.union(alone)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """docs with one row of each class: that with the smallest (id, text_key); of rows repeated in full, one."""
+    found = near_classes(docs, id_col=id_col, text_col=text_col, **kw)
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    kept = save(own.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")), "kept")
+    same = lambda d, k: F.col(f"{d}.{id_col}").eqNullSafe(F.col(f"{k}.doc_id")) & (F.xxhash64(F.col(f"{d}.{text_col}")) == F.col(f"{k}.text_key"))
+    repeated = kept.where("rows > 1")
+    if repeated.isEmpty():
+        return docs.alias("d").join(kept.alias("k"), same("d", "k"), "left_semi")
+    once = docs.alias("d").join(kept.where("rows = 1").alias("k"), same("d", "k"), "left_semi")
+    return once.union(docs.alias("d").join(repeated.alias("k"), same("d", "k"), "left_semi").dropDuplicates([id_col, text_col]))

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, ngram_join, quality, secrets, token_counts, topk, warc
+from . import chat, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, token_counts, topk, warc
 from .common import save, scratch_path, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.decide(table(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("removed", lambda n: n.cast("string")), ",")
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), listed.alias("removed_lines"))
+
+
 def op2_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
