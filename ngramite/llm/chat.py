@@ -1,7 +1,7 @@
 """Chat formatting of reply trees; DataFrame functions only.
 
-Messages form trees by parent id. Iterative self-joins walk from every leaf up to its root, branches are ranked by
-score, and each chosen root-to-leaf path is formatted as one conversation.
+Messages form trees by parent id. Iterative self-joins enumerate root-to-leaf paths, doubling the levels climbed in each
+round; branches are ranked by score, and each chosen path is formatted as one conversation.
 
 The template is "### role:" newline text newline "</turn>" newline for each turn. Every backslash, # and < inside roles
 and texts (and every colon inside roles) gets a backslash before it, so neither control string can occur in them, and
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from .common import save
 
 OPEN, MID, CLOSE = "### ", ":\n", "\n</turn>\n"
-#: Levels after which the walk's lineage is cut.
-CUT_EVERY = 8
 
 
 def escape(text: Column, more: str = "") -> Column:
@@ -28,35 +26,46 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """tree, leaf, score, path: a row for each root-to-leaf path of messages(tree, id, parent, role, text, score).
+def climb(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Every message's root-to-message depth and score, and the jump tables (tree, id, up) to ancestors 2^k levels up.
 
-    path is an array of (id, role, text) from the root on; score is the sum of the scores on it (null: 0). A message
-    whose parent is null or not in the tree is a root. (tree, id) must be unique; a cycle has no leaf and gives no path.
+    Each self-join doubles the levels that a row has climbed, so rounds grow with the logarithm of the deepest path. A
+    message whose parent is null or not in the tree is a root. What lies on or behind a cycle has no root and is left out.
     """
-    nodes = messages.select("tree", "id", "parent", F.struct("id", "role", "text").alias("turn"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    parents = nodes.where("parent is not null").select("tree", F.col("parent").alias("id")).distinct()
-    same = lambda a, b, left, right: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.{left}") == F.col(f"{b}.{right}"))
-    walk = nodes.alias("a").join(parents.alias("b"), same("a", "b", "id", "id"), "left_anti")
-    walk = walk.select("tree", F.col("id").alias("leaf"), F.col("parent").alias("next"), F.array("turn").alias("path"), "score")
-    done, level = None, 0
-    while True:
-        walk = save(walk, "paths") if level % CUT_EVERY == CUT_EVERY - 1 else walk
-        walk = walk.alias("a").join(nodes.alias("b"), same("a", "b", "next", "id"), "left")
-        found = F.col("b.turn").isNotNull()
-        walk = save(walk.select("a.tree", "a.leaf", F.when(found, F.col("b.parent")).alias("next"), F.when(found, F.concat(F.array("b.turn"), "a.path")).otherwise(F.col("a.path")).alias("path"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), found.alias("more")), "paths")
-        ended = walk.where("not more").select("tree", "leaf", "score", "path")
-        done = ended if done is None else done.union(ended)
-        walk = walk.where("more").drop("more")
-        level += 1
-        if walk.isEmpty():
-            return done
-
-
-def choose(branches: DataFrame, top: int = 1) -> DataFrame:
-    """The top branches of each tree by score, ties to the smaller leaf; adds rank, from 1."""
-    order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    return branches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    nodes = messages.select("tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    at = lambda a, b: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.up") == F.col(f"{b}.id"))
+    first = nodes.withColumnRenamed("parent", "up").alias("a").join(nodes.alias("b"), at("a", "b"), "left")
+    step = save(first.select("a.tree", "a.id", F.col("b.id").alias("up"), "a.score", F.lit(1).cast("long").alias("depth")), "climb")
+    jumps, most = [], step.count()
+    while not step.where("up is not null").isEmpty() and 1 << len(jumps) <= most:
+        jumps.append(step.where("up is not null").select("tree", "id", "up"))
+        total = lambda c: F.col(f"a.{c}") + F.coalesce(F.col(f"b.{c}"), F.lit(0))
+        step = save(step.alias("a").join(step.alias("b"), at("a", "b"), "left").select("a.tree", "a.id", "b.up", total("score").alias("score"), total("depth").alias("depth")), "climb")
+    return step.where("up is null").drop("up"), jumps
+
+
+def best_branches(messages: DataFrame, top: int = 1) -> DataFrame:
+    """tree, leaf, rank, score, path: the top root-to-leaf paths of each tree of messages(tree, id, parent, role, text, score).
+
+    A path's score is the sum of its messages' (null: 0); ties go to the smaller leaf. path is an array of (depth, id,
+    role, text) from the root on. (tree, id) must be unique; messages with a null id are left out. The chosen leaves take
+    up their ancestors through the jump tables, from the widest jump to the narrowest: each ancestor comes up once.
+    """
+    messages = messages.where("id is not null")
+    reached, jumps = climb(messages)
+    parents = messages.where("parent is not null").select("tree", F.col("parent").alias("id")).distinct()
+    same = lambda a, b, left="id": F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree")) & (F.col(f"{a}.{left}") == F.col(f"{b}.id"))
+    leaves = reached.alias("a").join(parents.alias("b"), same("a", "b"), "left_anti")
+    order = Window.partitionBy("tree").orderBy(F.desc("score"), "id")
+    leaves = save(leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("tree", F.col("id").alias("leaf"), "rank", "score"), "leaves")
+    on_path = leaves.select("tree", "leaf", F.col("leaf").alias("id"))
+    for jump in reversed(jumps):
+        up = on_path.alias("a").join(jump.alias("b"), same("a", "b")).select("a.tree", "a.leaf", F.col("b.up").alias("id"))
+        on_path = save(on_path.union(up), "on-path")
+    turns = on_path.alias("a").join(reached.alias("b"), same("a", "b")).select("a.tree", "a.leaf", "a.id", "b.depth")
+    turns = turns.alias("a").join(messages.alias("b"), same("a", "b")).select("a.tree", "a.leaf", F.struct("a.depth", "a.id", "b.role", "b.text").alias("turn"))
+    paths = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list("turn")).alias("path"))
+    return leaves.alias("a").join(paths.alias("b"), F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.leaf") == F.col("b.leaf"))).select("a.*", "b.path")
 
 
 def render(branches: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -100,7 +109,7 @@ def format_trees(messages: DataFrame, top: int = 1, learn: tuple[str, ...] = ("a
 
     Columns of messages beyond (tree, id, parent, role, text, score) are not read; an empty table gives an empty result.
     """
-    return render(choose(paths(messages), top), learn)
+    return render(best_branches(messages, top), learn)
 
 
 def from_turns(rows: DataFrame) -> DataFrame:
