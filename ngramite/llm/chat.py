@@ -37,11 +37,14 @@ def climb(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     first = nodes.withColumnRenamed("parent", "up").alias("a").join(nodes.alias("b"), at("a", "b"), "left")
     step = save(first.select("a.tree", "a.id", F.col("b.id").alias("up"), "a.score", F.lit(1).cast("long").alias("depth")), "climb")
     jumps, most = [], step.count()
-    while not step.where("up is not null").isEmpty() and 1 << len(jumps) <= most:
-        jumps.append(step.where("up is not null").select("tree", "id", "up"))
+    done, active = step.where("up is null"), step.where("up is not null")  # only rows that still climb are joined
+    while not active.isEmpty() and 1 << len(jumps) <= most:
+        jumps.append(active.select("tree", "id", "up"))
         total = lambda c: F.col(f"a.{c}") + F.coalesce(F.col(f"b.{c}"), F.lit(0))
-        step = save(step.alias("a").join(step.alias("b"), at("a", "b"), "left").select("a.tree", "a.id", "b.up", total("score").alias("score"), total("depth").alias("depth")), "climb")
-    return step.where("up is null").drop("up"), jumps
+        met = active.alias("a").join(done.union(active).alias("b"), at("a", "b"), "left")
+        step = save(met.select("a.tree", "a.id", "b.up", total("score").alias("score"), total("depth").alias("depth")), "climb")
+        done, active = done.union(step.where("up is null")), step.where("up is not null")
+    return done.drop("up"), jumps
 
 
 def best_branches(messages: DataFrame, top: int = 1) -> DataFrame:
