@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(df: DataFrame) -> None:
+    """Frees the disk of finished steps' shuffles: Spark removes their files when the driver's garbage is collected."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
+def fitting(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many (narrow) rows; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, save
 
+#: Nodes up to which labels are broadcast; beyond, every join is by shuffle.
+FEW = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """node, label for every node of links(a, b): label is the smallest node that links reach.
@@ -18,11 +21,13 @@ def components(links: DataFrame) -> DataFrame:
     links = links.where("a is not null and b is not null and a <> b")
     edges = save(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = save(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "labels")
+    few = labels.count() <= FEW
+    held = lambda df: F.broadcast(df) if few else df
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        taken = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        near = edges.join(held(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        taken = near.join(held(labels), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = save(taken.join(jump, "label", "left").select("node", "was", F.least("label", "far").alias("label")), "labels")
+        new = save(taken.join(held(jump), "label", "left").select("node", "was", F.least("label", "far").alias("label")), "labels")
         done = new.where("was <> label").isEmpty()
         discard(labels)
         labels = new.select("node", "label")

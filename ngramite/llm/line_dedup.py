@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import fitting, save
 from .ngram_join import by_line, unit_classes
 
 
@@ -24,7 +24,7 @@ def removed_lines(docs: DataFrame, n: int = 5, share: int = 75, id_col: str = "d
     lines = unit_classes(docs, n, share, id_col, text_col, by_line).drop("n")
     place = F.struct("doc_id", "text_key", "line")
     classes = lines.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    later = lines.join(classes, "comp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("line") == F.col("first.line"))))
+    later = lines.join(fitting(save(classes, "classes")), "comp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("line") == F.col("first.line"))))
     return later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("removed"))
 
 

@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard self-join with a token-group matrix.
 
-1. Every row's text becomes a set of hashed word n-grams ("tokens"). Equal sets are one node from then on.
+1. Every row's text becomes a set of word n-grams ("tokens"), each a hash of 48 bits: of two sets of 300 that are compared,
+   different n-grams are taken for equal with a chance of 3e-10. Equal sets are one node from then on.
 2. Token counts are summed in hash buckets over blocks of rows. A node that links to another shares at least the
    threshold's part of its tokens with it, so a node with fewer tokens that occur twice links with nothing, and all others
    need only those tokens: overlaps are sums over them.
@@ -25,11 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, save
+from .common import discard, fitting, partitions, release, save
 from .graph import components
 
 #: Tokens and rows in a block, tokens that a bucket should hold, members of a group, minimum hashes of a node.
-BLOCK_TOKENS, BLOCK_ROWS, BUCKET_TOKENS, GROUP_SIZE, MIN_HASHES = 1_000_000, 50_000, 1_000_000, 64, 4
+BLOCK_TOKENS, BLOCK_ROWS, BUCKET_TOKENS, GROUP_SIZE, MIN_HASHES = 500_000, 50_000, 500_000, 64, 4
+#: Queries that meet a group in one place.
+GROUP_QUERIES = 256
+#: Rounds in which nodes meet one leader for each of their rarest tokens, before groups are opened.
+LEADER_TURNS = 2
+#: Pairs up to which they are broadcast to the sets; beyond, they are joined by shuffle.
+FEW_PAIRS = 200_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -56,7 +63,7 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
         h = np.full(len(words) - size + 1, size, np.uint64)
         for k in range(size):
             h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k]
-        h = np.sort(mixed(h))
+        h = np.sort(mixed(h) & np.uint64(0xFFFFFFFFFFFF0000))  # 48 bits: bytes of zeros cost nothing when shuffled
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
@@ -236,56 +243,63 @@ def alike(a: Column, b: Column, share: int) -> Column:
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
-    """a, b: the pairs(a, b) whose sets' Jaccard similarity reaches share %, compared exactly."""
-    sets = nodes.select("key", "n", "tokens")
-    met = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")), "a")
-    met = met.join(sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")), "b")
+    """a, b: the pairs(a, b) whose sets' Jaccard similarity reaches share %, compared exactly. Only sets in pairs move."""
+    pairs = save(pairs.distinct(), "pairs")
+    few = pairs.count() <= FEW_PAIRS
+    held = lambda df: F.broadcast(df) if few else df
+    left = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")).join(held(pairs), "a")
+    right = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")).join(held(pairs.select("b").distinct()), "b", "left_semi")
+    met = left.join(right, "b").where(alike(F.col("n_a"), F.col("n_b"), share))
     both = F.size(F.array_intersect("t_a", "t_b"))
-    return met.where(alike(F.col("n_a"), F.col("n_b"), share)).where(both * 100 >= share * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    found = save(met.where(both * 100 >= share * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"), "links")
+    discard(pairs)
+    return found
 
 
-def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds comp, the component so far of each row's key."""
-    if labels is None:
-        return rows.withColumn("comp", F.col("key"))
-    return rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("label", "key")).drop("label")
+    return rows.join(fitting(labels.withColumnRenamed("node", "key")), "key", "left").withColumn("comp", F.coalesce("label", "key")).drop("label")
 
 
-def crossing(posts: DataFrame) -> DataFrame:
-    """token, leader, leader_n: the tokens of posts that more than one component has."""
-    per = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("key", "n", "comp")).alias("first"))
+def crossing(posts: DataFrame, turn: int = 0) -> DataFrame:
+    """token and a leader: the tokens of posts that more than one component has. Another turn, other leaders."""
+    place = F.xxhash64(F.lit(turn), "key") if turn else F.lit(0).cast("long")
+    per = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(place.alias("place"), "key", "n", "comp")).alias("first"))
     return per.where("low <> high").select("token", F.col("first.key").alias("leader"), F.col("first.n").alias("leader_n"), F.col("first.comp").alias("leader_comp"))
 
 
-def link_nodes(nodes: DataFrame, share: int) -> tuple[DataFrame, DataFrame | None]:
+def link_nodes(nodes: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect all nodes which chains of qualifying pairs connect, and the components' labels."""
     by_min = nodes.select("key", "n", F.posexplode("mins").alias("nth", "low"))
     leaders = by_min.groupBy("nth", "low").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     stars = by_min.join(leaders, ["nth", "low"]).where((F.col("key") != F.col("first.key")) & alike(F.col("n"), F.col("first.n"), share))
-    links = save(verify(stars.select(F.col("key").alias("a"), F.col("first.key").alias("b")).distinct(), nodes, share), "links")
+    links = verify(stars.select(F.col("key").alias("a"), F.col("first.key").alias("b")), nodes, share)
     labels = components(links)
 
     prefix = F.slice("tokens", F.lit(1), (F.size("tokens") - needed(F.col("n"), share) + 1).cast("int"))
     skipped = F.col("n") - F.size("tokens")
     posts = save(nodes.select("key", "n", F.posexplode(prefix).alias("pos", "token"), skipped.alias("skipped")).select("key", "n", "token", (F.col("n") - F.col("pos") - F.col("skipped")).alias("left")), "posts")
-
-    held = labelled(posts, labels)
-    pairs = held.join(crossing(held), "token").where((F.col("comp") != F.col("leader_comp")) & alike(F.col("n"), F.col("leader_n"), share))
-    links = links.union(save(verify(pairs.select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), nodes, share), "links"))
-    labels = components(links)
-
-    held = labelled(posts, labels)
-    held = save(held.join(crossing(held).select("token"), "token"), "crossing")
+    for turn in range(LEADER_TURNS):
+        held = labelled(posts, labels)
+        pairs = held.join(crossing(held, turn), "token").where((F.col("comp") != F.col("leader_comp")) & alike(F.col("n"), F.col("leader_n"), share))
+        more = verify(pairs.select(F.col("key").alias("a"), F.col("leader").alias("b")), nodes, share)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = components(links)
+        release(links)
+
+    links = links.union(open_groups(nodes, labelled(posts, labels), labels, share))
     discard(posts)
-    links = links.union(save(open_groups(nodes, held, labels, share), "links"))
     return links, components(links)
 
 
 def open_groups(nodes: DataFrame, held: DataFrame, labels: DataFrame, share: int) -> DataFrame:
     """The links between nodes of different components, by the token-group matrix over held(key, n, token, left, comp)."""
     sizes = labelled(nodes.select("key"), labels).groupBy("comp").agg(F.count("*").alias("members"))
+    sizes = fitting(save(sizes.join(held.select("comp").distinct(), "comp"), "sizes"))
     in_group = lambda rows: rows.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / GROUP_SIZE)).cast("int"))
-    grouped = in_group(held)
+    grouped = in_group(held.join(crossing(held).select("token"), "token"))
     matrix = grouped.groupBy("token", "comp", "part", "members").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("reach"))
     q, g = grouped.drop("part").alias("q"), matrix.alias("g")
     smaller = (F.col("q.members") < F.col("g.members")) | ((F.col("q.members") == F.col("g.members")) & (F.col("q.comp") < F.col("g.comp")))
@@ -294,13 +308,55 @@ def open_groups(nodes: DataFrame, held: DataFrame, labels: DataFrame, share: int
     near = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.comp") != F.col("g.comp")) & smaller & fits & enough)
     near = save(near.select("q.key", "q.n", "g.comp", "g.part").distinct(), "near")
 
-    wanted = near.select("comp", "part").distinct()
-    members = save(in_group(labelled(nodes, labels)).join(wanted, ["comp", "part"]).select("comp", "part", F.col("key").alias("member"), F.col("n").alias("member_n"), "tokens"), "members")
-    union = members.groupBy("comp", "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    bound = near.join(nodes.select("key", "tokens"), "key").join(union, ["comp", "part"])
-    opened = bound.where(F.size(F.array_intersect("tokens", "union")) >= needed(F.col("n"), share)).select("key", "n", "comp", "part")
-    pairs = opened.join(members.drop("tokens"), ["comp", "part"]).where(alike(F.col("n"), F.col("member_n"), share))
-    return verify(pairs.select(F.col("key").alias("a"), F.col("member").alias("b")), nodes, share)
+    # A group and some of its queries meet in one place; of the queries there may be many, so they come in parts.
+    asked = near.groupBy("comp", "part").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("turns"))
+    asked = fitting(save(asked, "asked"))
+    seats = max(1, near.count() // 2_000)
+    seat = F.pmod(F.xxhash64("comp", "part", "turn"), F.lit(seats)).alias("seat")
+    ask = near.join(asked, ["comp", "part"]).withColumn("turn", F.pmod(F.xxhash64("key"), "turns").cast("int"))
+    ask = ask.join(nodes.select("key", "tokens"), "key").select(seat, "comp", "part", "turn", "key", "n", "tokens")
+    members = in_group(labelled(nodes, labels)).join(asked, ["comp", "part"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    members = members.select(seat, "comp", "part", "turn", "key", "n", "tokens").toDF("m_seat", *(f"m_{c}" for c in ("comp", "part", "turn", "key", "n", "tokens")))
+    found = save(ask.groupBy("seat").cogroup(members.groupBy("m_seat")).applyInArrow(open_seat(share), "a binary, b binary"), "opened")
+    discard(near)
+    return found
+
+
+def open_seat(share: int):
+    """For each query and group: bounds the overlap by the group's union, and if it qualifies compares the members.
+
+    One link is enough: a group's members are of one component already.
+    """
+
+    def grouped(table: pa.Table, mark: str = "") -> dict[tuple, list[tuple[bytes, int, np.ndarray]]]:
+        out: dict[tuple, list] = {}
+        lists = table[f"{mark}tokens"].combine_chunks()
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for i, (comp, part, turn, key, n) in enumerate(zip(*(table[mark + c].to_pylist() for c in ("comp", "part", "turn", "key", "n")), strict=True)):
+            out.setdefault((comp, part, turn), []).append((key, n, values[ends[i] : ends[i + 1]]))
+        return out
+
+    def run(asked: pa.Table, members: pa.Table) -> pa.Table:
+        pairs, groups = [], grouped(members, "m_") if members.num_rows else {}
+        for group, queries in (grouped(asked) if asked.num_rows else {}).items():
+            own = groups[group]
+            union = np.unique(np.concatenate([t for _, _, t in own]))
+            sizes = np.array([n for _, n, _ in own])
+            at = np.concatenate([np.searchsorted(union, t) for _, _, t in own])
+            whose = np.repeat(np.arange(len(own)), [len(t) for _, _, t in own])
+            for key, n, tokens in queries:
+                has = np.zeros(len(union), bool)
+                place = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                has[place[union[place] == tokens]] = True
+                if 100 * has.sum() < share * n:
+                    continue
+                both = np.bincount(whose, has[at], len(own)).astype(np.int64)
+                linked = np.flatnonzero(100 * both >= share * (n + sizes - both))
+                if len(linked):
+                    pairs.append((key, own[linked[0]][0]))
+        return pa.table([pa.array([p[i] for p in pairs], pa.binary()) for i in range(2)], ["a", "b"])
+
+    return run
 
 
 def unit_classes(docs: DataFrame, n: int, share: int, id_col: str, text_col: str, units) -> DataFrame:
@@ -312,8 +368,12 @@ def unit_classes(docs: DataFrame, n: int, share: int, id_col: str, text_col: str
     counted = blobs.groupBy("bucket").applyInArrow(count_bucket, BLOBS)
     table = save(counted.groupBy("block").applyInArrow(assemble_block(share), NODES), "nodes")
     nodes = save(table.where("tokens is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("mins").alias("mins")), "sets")
+    units_only = save(table.select("doc_id", "text_key", "line", "n", "key"), "units")
+    discard(table)
+    release(table)
     _, labels = link_nodes(nodes, share)
-    held = labelled(table.select("doc_id", "text_key", "line", "n", "key"), labels)
+    discard(nodes)
+    held = labelled(units_only, labels)
     return held.select("doc_id", "text_key", "line", "n", F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
 
 
@@ -329,8 +389,10 @@ def near_classes(docs: DataFrame, n: int = 5, share: int = 75, id_col: str = "do
     """
     held = unit_classes(docs, n, share, id_col, text_col, whole)
     full = held.where("comp is not null")
-    least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "text_key")).alias("first"))
-    done = full.join(least, "comp").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "first")
+    least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("rows"))
+    least = save(least.where("rows > 1").drop("rows"), "classes")  # the others are alone: their own row says it all
+    done = full.join(fitting(least), "comp", "left").withColumn("shared", F.col("first").isNotNull())
+    done = done.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("shared"), F.col("first")).otherwise(F.struct("doc_id", "text_key")).alias("first"))
     alone = held.where("comp is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.struct("doc_id", "text_key").alias("first"))
     return done.union(alone)
 

@@ -70,19 +70,26 @@ def build(keys: DataFrame, key: str = "ngram") -> DataFrame:
 
 
 def slots(keys: DataFrame, function: DataFrame, key: str = "ngram") -> DataFrame:
-    """keys with idx: the slot of each key; null only if its part holds nothing."""
+    """keys with idx: the slot of each key; a key whose part holds nothing is left out.
+
+    A key meets its part's row and then its bucket's displacement, so that no part's table travels with every key.
+    """
     head = function.select("parts").head()
     parts = head[0] if head else 1
+    names = keys.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema)
+    hashes = lambda pdf: pdf["h"].to_numpy(np.int64).view(np.uint64)
 
-    def find(batches):
+    def to_bucket(batches):
         for pdf in batches:
-            h = pdf["h"].to_numpy(np.int64).view(np.uint64)
-            lists = pdf["displacements"].tolist()
-            bucket = spread(h, np.zeros(1), np.array([len(d) for d in lists]))
-            chosen = np.array([d[b] for d, b in zip(lists, bucket, strict=True)])
-            yield pdf[names].assign(idx=pdf["first"].to_numpy() + spread(h, chosen, pdf["n"].to_numpy()))
+            yield pdf.assign(bucket=spread(hashes(pdf), np.zeros(1), pdf["buckets"].to_numpy()).astype(np.int32))
 
-    names = keys.columns
-    met = hashed(keys, key, parts).join(fitting(function, 10_000), "part")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema)
-    return met.select(*names, "h", "n", "first", "displacements").mapInPandas(find, f"{schema}, idx long")
+    def to_slot(batches):
+        for pdf in batches:
+            yield pdf[names].assign(idx=pdf["first"].to_numpy() + spread(hashes(pdf), pdf["d"].to_numpy(), pdf["n"].to_numpy()))
+
+    rows = function.select("part", "n", "first", F.size("displacements").alias("buckets"))
+    met = hashed(keys, key, parts).join(fitting(rows), "part").select(*names, "h", "part", "n", "first", "buckets")
+    met = met.mapInPandas(to_bucket, f"{schema}, h long, part int, n long, first long, buckets int, bucket int")
+    displacements = function.select("part", F.posexplode("displacements").alias("bucket", "d"))
+    return met.join(fitting(displacements), ["part", "bucket"]).select(*names, "h", "n", "first", "d").mapInPandas(to_slot, f"{schema}, idx long")
