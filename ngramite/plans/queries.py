@@ -46,10 +46,10 @@ def _codes(spark, sf_dir) -> DataFrame:
 
 
 def _quantities(spark, sf_dir) -> DataFrame:
-    """pos, value: a numeric column in its table's order of keys."""
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("value"))
-    rows = rows.groupBy("l_orderkey", "l_linenumber").agg(F.max("value").alias("value"))
-    return ranks.number(rows, ["l_orderkey", "l_linenumber"], "pos").select("pos", "value")
+    """pos, value: a numeric column in its table's order of keys. Rows equal in all of these are interchangeable."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = _table(spark, sf_dir, "lineitem").select(*keys, F.col("l_quantity").cast("long").alias("value"))
+    return ranks.number(rows, [*keys, "value"], "pos").select("pos", "value")
 
 
 def tokenize(spark, sf_dir):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ngramite.operators import bits, counts, language_model, lookup, perfect_hash, ranks, store, tokens
+from ngramite.plans import queries as plans
 from ngramite.sources import kv
 from ngramite.sources.scratch import scratch_path
 from ngramite.streaming import queries as streaming
@@ -76,6 +77,13 @@ def test_rank_runs(spark, values, want, monkeypatch):
     assert [r["rank"] for r in ranks.rank_runs(df).orderBy("pos").collect()] == want
 
 
+def test_rank_runs_takes_every_row(spark, tmp_path):
+    rows = [(1, 1, 9, 1, 5.0), (1, 1, 2, 1, 3.0), (1, 1, 2, 2, 3.0), (1, 2, 1, 1, 3.0), (1, 2, 1, 1, 3.0), (2, 1, 1, 1, 7.0), (2, 1, 1, 1, 4.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = [tuple(r) for r in plans.rank_runs(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert got == [(0, 3, 0), (1, 3, 0), (2, 5, 1), (3, 3, 2), (4, 3, 2), (5, 4, 3), (6, 7, 4)]
+
+
 def test_number_and_running_sum(spark, monkeypatch):
     monkeypatch.setattr(ranks, "CHUNK", 7)
     df = ranks.number(spark.range(100).withColumn("k", F.md5(F.col("id").cast("string").cast("binary"))), ["k"])
