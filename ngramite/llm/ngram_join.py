@@ -101,6 +101,11 @@ def by_line(text: bytes) -> Iterator[tuple[int, bytes]]:
     return ((i, line) for i, line in enumerate(text.split(b"\n")) if line.strip())
 
 
+def home(number: int, bits: int) -> int:
+    """The bucket in which a block's own blobs travel: by all of the block's number, so that no bucket gets many of them."""
+    return int(mixed(np.array([number], np.uint64))[0]) & ((1 << bits) - 1)
+
+
 def scatter(n: int, bits: int, units=whole):
     """Rows (doc_id, text_key, text) -> blobs of each block of units: its tokens by bucket, and what it needs afterwards."""
 
@@ -116,8 +121,8 @@ def scatter(n: int, bits: int, units=whole):
         counts = np.diff(np.append(starts, len(tokens))).astype(np.uint32)
         alone, many = starts[counts == 1], starts[counts > 1]
         repeated = np.repeat(counts > 1, counts)
-        out = [(number % (1 << bits), number, LOCAL, pack(tokens[repeated]), pack(owner[repeated]), None)]
-        out.append((number % (1 << bits), number, META, ids(rows, 0), ids(rows, 1), b"".join(keys) + np.array([len(s) for s in sets], np.uint32).tobytes() + np.array([r[2] for r in rows], np.uint32).tobytes()))
+        out = [(home(number, bits), number, LOCAL, pack(tokens[repeated]), pack(owner[repeated]), None)]
+        out.append((home(number, bits), number, META, ids(rows, 0), ids(rows, 1), b"".join(keys) + np.array([len(s) for s in sets], np.uint32).tobytes() + np.array([r[2] for r in rows], np.uint32).tobytes()))
         for kind, at, second in ((ONE, alone, owner[alone]), (MANY, many, counts[counts > 1])):
             values = tokens[at]
             cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []

@@ -80,6 +80,13 @@ def test_near_classes(spark, sizes):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_no_bucket_carries_all_blocks(spark):
+    rows = spark.range(0, 64, numPartitions=64).selectExpr("id", "id AS text_key", "cast(concat('some words of ', id) AS binary) AS text")
+    blobs = rows.mapInArrow(ngram_join.scatter(5, 6), ngram_join.BLOBS).where(F.col("kind").isin(ngram_join.LOCAL, ngram_join.META))
+    per = [r["count"] for r in blobs.groupBy("bucket").count().collect()]
+    assert sum(per) == 128 and max(per) <= 16 and len(per) >= 32
+
+
 def test_keep_one(spark):
     rows = corpus()
     roots = classes([shingles(t) for _, t, _ in rows])
