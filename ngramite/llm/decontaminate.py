@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing; DataFrame functions only.
 
 Fixed masks ignore selected positions of a word window. The hashes of the positions that a mask keeps are joined between
-benchmark items and documents, so a window still meets its source if words at ignored positions were replaced. A hit
+benchmark items and documents, so a window still meets its source if words at ignored positions were replaced. The masks
+are all beginnings that a run of matches can have, so every overlap that counts has a hit. A hit
 fixes an alignment of the item to the document; along it, words are compared one by one, and the best run of matches,
 where a mismatch costs three matches (so that at least three words in four are equal), decides.
 """
@@ -13,8 +14,30 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, save
 
-#: 1: the word counts, 0: it is ignored.
-MASKS = ("111101101", "110110111", "101111011")
+#: Equal words at the start of a run that a mask keeps, and what a mismatch costs in equal words.
+SEED_WORDS, MISMATCH = 7, 3
+
+
+def seed_masks(weight: int = SEED_WORDS, cost: int = MISMATCH) -> tuple[str, ...]:
+    """All ways in which the first weight equal words of a run can lie. 1: the word counts, 0: it is ignored.
+
+    A run's score stays above 0, so more than cost equal words come before its first mismatch, and cost more before each
+    further one. Every run of weight equal words or more hence begins with one of these masks.
+    """
+    done, open_ends = [], [("1", 1)]
+    while open_ends:
+        mask, score = open_ends.pop()
+        if mask.count("1") == weight:
+            done.append(mask)
+            continue
+        open_ends.append((f"{mask}1", score + 1))
+        if score > cost:
+            open_ends.append((f"{mask}0", score - cost))
+    return tuple(sorted(done))
+
+
+#: An overlap has 8 equal words at least, or all words of an item of fewer: these masks miss none.
+MASKS = seed_masks()
 #: Items of fewer words than this prove nothing and are left out; those shorter than the masks are looked up whole.
 LEAST_WORDS = 5
 #: Rows up to which seeds and alignments are broadcast; beyond, they are joined by a shuffle.
@@ -68,7 +91,7 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     none = F.struct(F.lit(0).alias("score"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc: Column, same: Column) -> Column:
-        score = F.greatest(F.lit(0), acc["score"] + F.when(same, 1).otherwise(-3))
+        score = F.greatest(F.lit(0), acc["score"] + F.when(same, 1).otherwise(-MISMATCH))
         run = F.when(score == 0, 0).otherwise(acc["run"] + same.cast("int"))
         return F.struct(score.alias("score"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 

@@ -236,6 +236,39 @@ def test_leaks(spark):
     assert {r.doc_id for r in kept.collect()} == {12, 13, 14, 17} and kept.columns == docs(spark, rows).columns
 
 
+def overlap(item, doc, at):
+    """Equal words of the best run along an alignment."""
+    score = run = best = 0
+    for j, w in enumerate(item):
+        same = 0 <= at + j < len(doc) and doc[at + j] == w
+        score = max(0, score + (1 if same else -3))
+        run = run + same if score else 0
+        best = max(best, run)
+    return best
+
+
+def test_leaks_against_all_alignments(spark):
+    rng = np.random.default_rng(6)
+    items = {n * 10 + k: text(n, rng).split() for n in (5, 6, 7, 8, 9, 10, 11, 12, 15, 16, 20, 50, 100) for k in range(2)}
+    rows = []
+    for i, words in items.items():
+        changed = [[at] for at in range(min(len(words), 16))] + [rng.choice(len(words), max(1, len(words) * k // 10), replace=False) for k in (1, 2) for _ in range(4)] + [range(3, len(words), 4), range(4, len(words), 4)]
+        variants = [[f"other{i}x{j}" if j in set(places) else w for j, w in enumerate(words)] for places in changed]
+        for v in [*variants, words[:8], words[-8:], words[:7], words[1:]]:
+            rows.append((len(rows), " ".join([*text(4, rng).split(), *v, *text(4, rng).split()]), "x"))
+        rows += [(len(rows), " ".join(words[:8]), "x"), (len(rows) + 1, " ".join(words[-8:]), "x")]
+    want = {}
+    for d, t, _ in rows:
+        doc = t.split()
+        for i, words in items.items():
+            best = max(overlap(words, doc, at) for at in range(-len(words) + 1, len(doc)))
+            if best >= max(min(8, len(words)), -(-3 * min(16, len(words)) // 4)):
+                want[d, i] = best
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
+    assert len(want) > 300 and got == want
+
+
 def test_mixing(spark):
     rows = [(i, text(int(n)), s) for i, (n, s) in enumerate(zip(np.random.default_rng(5).integers(1, 60, 300), ["a"] * 150 + ["b"] * 100 + [None] * 50, strict=True))]
     rows += [(1000, None, "a"), (1001, "", "empty"), (None, text(5), "b"), (7, rows[7][1], "a"), (1002, text(4000), "a")]
