@@ -2,15 +2,18 @@
 
 Base spans come from three patterns. Besides, every token of TOKEN that mixes letters and digits is tested against the
 hypothesis that it is uniformly random text of its encoding (hex, base32, base36, base62 or base64, inferred from its
-characters): chi-squared tests of single characters and of character classes, a runs test about the alphabet's middle and
-a test of serial correlation. The smallest p-value counts, times the number of tests. Within each class of lengths the
-Benjamini-Hochberg rule finds the tokens for which randomness is rejected: these are ordinary text. Short tokens leave
-tests little power, so their classes use a larger false-discovery rate, that is reject sooner. What isn't rejected is a
-"random" span unless it overlaps with a base span.
+characters): chi-squared tests of single characters and of character classes, a runs test about the alphabet's middle, a
+test of serial correlation and, against words and paths, tests of neighbours of the same class and of letters that are
+common in writing. The smallest p-value counts, times the number of tests. Within each class of lengths the
+Benjamini-Hochberg rule finds the tokens for which randomness is rejected: these are ordinary text. However many there
+are, its limit stays below the rate, so few random tokens can be rejected. What isn't rejected is a "random" span unless
+it overlaps with a base span.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +28,11 @@ HEX_LONG = r"(?<![0-9a-f])[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 #: Upper ends of the length classes and their false-discovery rates.
-LENGTHS = ((24, 0.5), (32, 0.3), (48, 0.2), (96, 0.1), (None, 0.05))
+LENGTHS = ((24, 0.01), (32, 0.01), (48, 0.01), (96, 0.01), (None, 0.01))
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_"
+#: Letters a to z in a thousand of written English, and the classes of ALPHABET's characters in each alphabet.
+WRITTEN = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+SHARES = {16: (10, 6, 0, 0), 32: (6, 26, 0, 0), 36: (10, 26, 0, 0), 62: (10, 26, 26, 0), 66: (10, 26, 26, 4)}
 #: p-values are counted in this many steps of log10 down to 1e-16; a token counts by the upper end of its step.
 STEPS = 320
 MARK, STAND_IN = "\u0001", "\u0002"
@@ -65,17 +71,17 @@ def tests(rows: DataFrame) -> DataFrame:
     letters = F.when(F.col("__u").rlike("^[0-9a-f]+$"), 16).when(F.col("__u").rlike("^[a-z2-7]+$") & ~F.col("word").rlike("[a-z]"), 32).when(F.col("__u").rlike("^[0-9a-z]+$"), 36).when(F.col("__u").rlike("^[0-9A-Za-z]+$"), 62).otherwise(66)
     rows = rows.withColumn("letters", letters)
     code = F.transform(F.split("__u", ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    rows = rows.withColumn("x", F.when(F.col("letters") == 32, F.transform(code, lambda c: F.when(c >= 10, c - 10).otherwise(c + 24))).otherwise(code))
+    rows = rows.withColumn("__c", code)
+    rows = rows.withColumn("x", F.when(F.col("letters") == 32, F.transform("__c", lambda c: F.when(c >= 10, c - 10).otherwise(c + 24))).otherwise(F.col("__c")))
     n, k = F.col("n").cast("double"), F.col("letters").cast("double")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
     rows = rows.withColumn("n", F.size("x"))
     square = total(F.transform(F.array_distinct("x"), lambda c: F.pow(F.size(F.filter("x", lambda v: v == c)).cast("double"), F.lit(2.0))))
     rows = rows.withColumn("chi", (k / n * square - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
-    shares = {16: (10, 6, 0, 0), 32: (6, 26, 0, 0), 36: (10, 26, 0, 0), 62: (10, 26, 26, 0), 66: (10, 26, 26, 4)}
     groups = ("[^0-9]", "[^a-z]", "[^A-Z]", "[0-9A-Za-z]")
 
     def part(i: int) -> Column:
-        want = n * sum((F.when(F.col("letters") == size, F.lit(s[i] / size)).otherwise(0.0) for size, s in shares.items()), F.lit(0.0))
+        want = n * sum((F.when(F.col("letters") == size, F.lit(s[i] / size)).otherwise(0.0) for size, s in SHARES.items()), F.lit(0.0))
         return F.when(want > 0, F.pow(F.length(F.regexp_replace("__u", groups[i], "")) - want, F.lit(2.0)) / want).otherwise(0.0)
 
     cells = F.when(k == 66, 3.0).when(k == 62, 2.0).otherwise(1.0)
@@ -92,8 +98,21 @@ def tests(rows: DataFrame) -> DataFrame:
     spread = total(F.transform("x", lambda v: F.pow(v - F.col("mean"), F.lit(2.0))))
     serial = pairs(lambda a, b: (a - F.col("mean")) * (b - F.col("mean")))
     rows = rows.withColumn("serial", F.when(spread > 0, (serial / spread + 1.0 / n) * F.sqrt(n)).otherwise(F.lit(9.0)))
-    least = F.least(upper_tail(F.col("chi")), upper_tail(F.col("classes")), 2.0 * upper_tail(F.abs("run_z")), 2.0 * upper_tail(F.abs("serial")))
-    return rows.withColumn("p", F.least(F.lit(1.0), 4.0 * least)).drop("__u", "x", "chi", "classes", "above", "runs", "run_z", "mean", "serial")
+    own = lambda of: F.element_at(F.create_map(*(F.lit(v) for size, s in SHARES.items() for v in (size, float(of(size, s))))), F.col("letters"))
+    kind = lambda c: F.when(c < 10, 0).when(c < 36, 1).when(c < 62, 2).otherwise(3)
+    alike = total(F.zip_with(F.slice("__c", 1, F.size("__c") - 1), F.slice("__c", 2, F.size("__c") - 1), lambda a, b: (kind(a) == kind(b)).cast("double")))
+    two, three = (lambda size, s, k=k: sum((c / size) ** k for c in s) for k in (2, 3))
+    spread_of = (n - 1) * own(lambda size, s: two(size, s) * (1 - two(size, s))) + 2.0 * (n - 2) * own(lambda size, s: three(size, s) - two(size, s) ** 2)
+    rows = rows.withColumn("alike", (alike - (n - 1) * own(two)) / F.sqrt(spread_of))
+    common = [math.log(26 * f / sum(WRITTEN)) for f in WRITTEN]
+    weights = [0.0] * 10 + common + common + [0.0] * 4
+    held = lambda s: [w for a, size in zip((0, 10, 36, 62), s, strict=True) for w in weights[a : a + size]]
+    middle = lambda size, s: sum(held(s)) / size
+    deviation = lambda size, s: math.sqrt(sum(w * w for w in held(s)) / size - middle(size, s) ** 2)
+    written = total(F.transform("__c", lambda c: F.get(F.array(*map(F.lit, weights)), c)))
+    rows = rows.withColumn("written", (written - n * own(middle)) / (F.sqrt(n) * own(deviation)))
+    least = F.least(*(upper_tail(F.col(c)) for c in ("chi", "classes", "alike", "written")), 2.0 * upper_tail(F.abs("run_z")), 2.0 * upper_tail(F.abs("serial")))
+    return rows.withColumn("p", F.least(F.lit(1.0), 6.0 * least)).drop("__u", "__c", "x", "chi", "classes", "above", "runs", "run_z", "mean", "serial", "alike", "written")
 
 
 def length_class(n: Column) -> Column:

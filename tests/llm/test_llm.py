@@ -178,6 +178,22 @@ def test_secrets(spark):
     assert not got[10].extra and len(got[11].extra) == 1
 
 
+def test_secrets_among_ordinary_tokens(spark):
+    rng = np.random.default_rng(7)
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    kinds = {"hex24": (digits + "abcdef", 24), "base32": (lower.upper() + "234567", 32), "base36": (digits + lower, 25), "base62-20": (digits + lower + lower.upper(), 20), "base62-22": (digits + lower + lower.upper(), 22), "base64-40": (digits + lower + lower.upper() + "+/", 40), "base64-64": (digits + lower + lower.upper() + "+/", 64)}
+    planted = []
+    for name, (letters, n) in kinds.items():
+        made = ("".join(rng.choice(list(letters), n)) for _ in range(10_000))
+        planted += [(name, t) for t in made if re.search("[0-9]", t) and re.search("[A-Za-z]", t)][:400]
+    parts = "users service account report index session handler customer payment archive database storage template release static images network controller".split()
+    ordinary = [("ordinary", "/".join(rng.choice(parts, int(k))) + f"/{rng.integers(1, 99)}") for k in rng.integers(3, 8, 6000)]
+    rows = [*planted, *(t for t in ordinary if len(t[1]) >= 20)]
+    found = {r.doc_id for r in secrets.scan(docs(spark, [(i, f"see {t} here", None) for i, (_, t) in enumerate(rows)])).collect() if r.extra}
+    share = {k: np.mean([i in found for i, (name, _) in enumerate(rows) if name == k]) for k in (*kinds, "ordinary")}
+    assert all(share[k] >= 0.97 for k in kinds) and share["ordinary"] <= 0.05, share
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 0.2, (300, 16))
