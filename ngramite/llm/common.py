@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -19,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local session (driver and executors are one process) gets a temporary folder; a cluster's raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="ngramite-")
         spark.sparkContext.setCheckpointDir(found)
         found = f"file://{found}"
@@ -48,12 +52,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def release(df: DataFrame) -> None:
-    """Frees the disk of finished steps' shuffles: Spark removes their files when the driver's garbage is collected."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def fitting(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df marked for broadcast if it has at most so many (narrow) rows; else as it is, for a join by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

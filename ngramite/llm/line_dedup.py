@@ -1,37 +1,146 @@
 """Line dedup: an exact set-similarity join of lines, whose later matches are removed.
 
-A line's tokens are its hashed word n-grams. They are ordered by rarity over the whole corpus; lines are candidates only if
-prefixes of their rarest tokens meet (prefix filter), their sizes fit (length filter) and enough tokens are left behind
-the place where they meet (positional filter); Jaccard similarity is verified exactly. See ngram_join for how this runs.
+A line's tokens are its hashed word n-grams, in order of rarity over the whole corpus (see token_sets). Lines are candidates
+only if prefixes of their rarest tokens meet (prefix filter), their sizes fit (length filter) and enough tokens are left
+behind the place where they meet (positional filter); Jaccard similarity is verified exactly.
+
+Equal sets are one candidate, represented by their first line. Each then meets the first line of each token of its prefix.
+Lists of a token are longer than that only for the lines which no such meeting has settled: these meet all earlier lines of
+their tokens' lists, in cells of bounded size, so neither pairs nor whole lists are gathered anywhere.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitting, save
-from .ngram_join import by_line, unit_classes
+from .common import discard, fitting, save
+from .token_sets import alike, by_line, prefix_posts, reachable, token_units, verify
+
+#: Members and queries of a token's list that meet in one cell, and cells that a task's group should hold.
+CELL, SEAT_ROWS = 256, 2_000
+PLACE = ("doc_id", "text_key", "line")
 
 
 def removed_lines(docs: DataFrame, n: int = 5, share: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, removed: the numbers (from 0) of the lines that go, for each text that loses any.
 
-    A line goes if it links, directly or through other lines, to an earlier one; the order is (doc_id, text_key, number),
-    null ids first. Lines are parted by a newline. Lines without words never go; fewer words than n make one token, so
-    short lines match only when equal. Rows that repeat an id and text get the same decision as one row.
+    A line goes if it matches an earlier one, whether that one stays or not; the order is (doc_id, text_key, number), null
+    ids first. Lines match when 100 * intersection >= share * union of their sets of word n-grams, A-Z lower-cased. Lines
+    are parted by a newline. Lines without words never go; fewer words than n make one token, so such lines match only
+    when equal. Rows that repeat an id and text get the same decision as one row. An empty table gives an empty result.
     """
-    lines = unit_classes(docs, n, share, id_col, text_col, by_line).drop("n")
-    place = F.struct("doc_id", "text_key", "line")
-    classes = lines.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    later = lines.join(fitting(save(classes, "classes")), "comp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("line") == F.col("first.line"))))
-    return later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("removed"))
+    found = token_units(docs, n, share, id_col, text_col, by_line, every=False)
+    rows = found.where(~F.col("copy")).select("key", "n", "tokens", F.struct(*PLACE).alias("place"))
+    sets = save(rows.groupBy("key").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("rows")), "sets")
+    repeated = fitting(save(sets.where("rows > 1").select("key", F.col("place").alias("first")), "repeated"))
+    later = rows.join(repeated, "key").where(~F.col("place").eqNullSafe(F.col("first")))
+    matched = save(sets.join(fitting(matches(sets, share)), "key", "left_semi").select("place.*"), "matched")
+    discard(sets)
+    gone = found.where("copy").select(*PLACE).union(later.select("place.*")).union(matched)
+    return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("removed"))
+
+
+def matches(sets: DataFrame, share: int) -> DataFrame:
+    """key of each of sets(key, place, n, tokens) that is similar enough to one with an earlier place."""
+    posts = save(prefix_posts(sets, share, "place"), "posts")
+    first = posts.groupBy("token").agg(F.min(F.struct("place", "key", "n", "left")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    met = posts.join(first, "token").where(F.col("key") != F.col("first.key"))
+    fits = alike(F.col("n"), F.col("first.n"), share) & reachable(F.col("left"), F.col("first.left"), F.col("n"), F.col("first.n"), share)
+    done = save(verify(met.where(fits).select(F.col("key").alias("a"), F.col("first.key").alias("b")), sets, share).select(F.col("a").alias("key")).distinct(), "matches")
+    asked = save(met.where("rows > 2").join(fitting(done), "key", "left_anti").select("token", "key", "n", "left"), "asked")
+    found = done.union(meet_in_cells(asked, posts, sets, share).select("key")).distinct()
+    found = save(found, "matches")
+    discard(posts)
+    discard(asked)
+    return found
+
+
+def meet_in_cells(asked: DataFrame, posts: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """key of those asked(token, key) that match an earlier one of posts with the same token.
+
+    A token's list is cut into parts of about CELL members and CELL queries; each pair of parts is a cell.
+    """
+    tokens = asked.groupBy("token").agg(F.ceil(F.count("*") / CELL).cast("int").alias("turns"))
+    listed = posts.join(fitting(tokens), "token", "left_semi").groupBy("token").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    cells = save(tokens.join(listed, "token"), "cells")
+    held, rows = fitting(cells), cells.agg(F.sum(F.col("turns").cast("long") * F.col("parts") * CELL)).first()[0] or 0
+    part = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    seat = F.pmod(F.xxhash64("token", "turn", "part"), F.lit(max(1, rows // (CELL * 8)))).alias("seat")
+    shape = ("seat", "token", "turn", "part", "key", "left", "n", "place", "tokens")
+
+    def full(df: DataFrame) -> DataFrame:
+        return df.select(seat, "token", "turn", "part", "key", "left").join(sets.select("key", "n", "place", "tokens"), "key").select(*shape)
+
+    queries = full(asked.join(held, "token").withColumn("turn", part("turns")).withColumn("part", every("parts")))
+    members = full(posts.join(held, "token").withColumn("part", part("parts")).withColumn("turn", every("turns")))
+    members = members.toDF(*(f"m_{c}" for c in shape))
+    return queries.groupBy("seat").cogroup(members.groupBy("m_seat")).applyInArrow(meet(share), "key binary")
+
+
+def earlier(place: pa.ChunkedArray) -> np.ndarray:
+    """Ranks of (doc_id, text_key, line), nulls first; equal places have equal ranks."""
+    at = place.combine_chunks()
+    doc_id, text_key, line = (at.field(i) for i in range(3))
+    known = doc_id.is_valid().to_numpy(zero_copy_only=False)
+    columns = (line.to_numpy(), text_key.to_numpy(), doc_id.fill_null(0).to_numpy(), known)
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def meet(share: int):
+    """For the queries and members of cells: the queries' keys that match an earlier member."""
+
+    def split(table: pa.Table) -> tuple[dict, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        lists, cells = table["tokens"].combine_chunks(), {}
+        for i, cell in enumerate(zip(*(table[c].to_pylist() for c in ("token", "turn", "part")), strict=True)):
+            cells.setdefault(cell, []).append(i)
+        return cells, table["key"].to_pylist(), table["n"].to_numpy(), table["left"].to_numpy(), lists.values.to_numpy(), lists.offsets.to_numpy()
+
+    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
+        members = members.rename_columns([c.removeprefix("m_") for c in members.column_names])
+        hits: set[bytes] = set()
+        if queries.num_rows and members.num_rows:
+            ranks = earlier(pa.chunked_array([*queries["place"].chunks, *members["place"].chunks]))
+            asked, q_keys, q_n, q_left, q_values, q_ends = split(queries)
+            there, _, m_n, m_left, m_values, m_ends = split(members)
+            for cell, rows in asked.items():
+                own = np.array(there.get(cell, []), np.int64)
+                if not len(own):
+                    continue
+                tokens = [m_values[m_ends[i] : m_ends[i + 1]] for i in own]
+                union, at = np.unique(np.concatenate(tokens), return_inverse=True)
+                whose = np.repeat(np.arange(len(own)), [len(t) for t in tokens])
+                n, left, rank = m_n[own], m_left[own], ranks[queries.num_rows + own]
+                for i in rows:
+                    if q_keys[i] in hits:
+                        continue
+                    fits = (rank < ranks[i]) & (np.minimum(n, q_n[i]) * 100 >= share * np.maximum(n, q_n[i])) & (np.minimum(left, q_left[i]) * (100 + share) >= share * (n + q_n[i]))
+                    if not fits.any():
+                        continue
+                    has, mine = np.zeros(len(union), bool), q_values[q_ends[i] : q_ends[i + 1]]
+                    place = np.minimum(np.searchsorted(union, mine), len(union) - 1)
+                    has[place[union[place] == mine]] = True
+                    both = np.bincount(whose, has[at], len(own)).astype(np.int64)
+                    if (fits & (100 * both >= share * (n + q_n[i] - both))).any():
+                        hits.add(q_keys[i])
+        return pa.table([pa.array(sorted(hits), pa.binary())], ["key"])
+
+    return run
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """doc_id, text_key, n_lines, removed for each row of docs; a null text has no lines. Other columns are not read."""
     gone = removed_lines(docs, id_col=id_col, text_col=text_col, **kw).alias("g")
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), F.coalesce(F.size(F.split(docs[text_col], "\n")), F.lit(0)).alias("n_lines")).alias("r")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), F.coalesce(F.regexp_count(docs[text_col], F.lit("\n")) + 1, F.lit(0)).alias("n_lines")).alias("r")
     same = F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.text_key") == F.col("g.text_key"))
     return rows.join(gone, same, "left").select("r.doc_id", "r.text_key", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 

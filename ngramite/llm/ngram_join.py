@@ -1,264 +1,32 @@
 """Exact n-gram Jaccard self-join with a token-group matrix.
 
-1. Every row's text becomes a set of word n-grams ("tokens"), each a hash of 48 bits: of two sets of 300 that are compared,
-   different n-grams are taken for equal with a chance of 3e-10. Equal sets are one node from then on.
-2. Token counts are summed in hash buckets over blocks of rows. A node that links to another shares at least the
-   threshold's part of its tokens with it, so a node with fewer tokens that occur twice links with nothing, and all others
-   need only those tokens: overlaps are sums over them.
-3. Similar nodes are put together through minimum hashes and through their rarest tokens: a node is compared with one
+1. Texts become sets of hashed word n-grams in order of rarity (see token_sets). Equal sets are one node from then on.
+2. Similar nodes are put together through minimum hashes and through their rarest tokens: a node is compared with one
    leader in each case and linked if it qualifies. Connected nodes form groups of bounded size.
-4. The matrix token x group holds each group's tokens. A node is checked against groups outside its own component only:
+3. The matrix token x group holds each group's tokens. A node is checked against groups outside its own component only:
    those that share a token of its rarest tokens' prefix (length and position bounds applied), whose token union covers
    enough of the node. Groups that qualify are opened, and their members compared exactly.
-5. Connected components of the links are the classes.
+4. Connected components of the links are the classes.
 
-Copies never multiply: equal sets are one node, near copies meet their leader and are then one component, which step 4
+Copies never multiply: equal sets are one node, near copies meet their leader and are then one component, which step 3
 doesn't compare with itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fitting, partitions, release, save
+from .common import discard, fitting, save
 from .graph import components
+from .token_sets import alike, prefix_posts, token_units, verify, whole
 
-#: Tokens and rows in a block, tokens that a bucket should hold, members of a group, minimum hashes of a node.
-BLOCK_TOKENS, BLOCK_ROWS, BUCKET_TOKENS, GROUP_SIZE, MIN_HASHES = 500_000, 50_000, 500_000, 64, 4
-#: Queries that meet a group in one place.
-GROUP_QUERIES = 256
+#: Members of a group, queries that meet a group in one place.
+GROUP_SIZE, GROUP_QUERIES = 64, 256
 #: Rounds in which nodes meet one leader for each of their rarest tokens, before groups are opened.
 LEADER_TURNS = 2
-#: Pairs up to which they are broadcast to the sets; beyond, they are joined by shuffle.
-FEW_PAIRS = 200_000
-MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(29))
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, A-Z lower-cased."""
-    from xxhash import xxh3_64_intdigest
-
-    words = text.lower().split()  # on bytes: ASCII letters, and the ASCII white space that parts words here
-    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def ngrams(words: np.ndarray, n: int) -> np.ndarray:
-    """Distinct hashed n-grams, sorted; fewer words than n are one token as a whole."""
-    if not len(words):
-        return words
-    with np.errstate(over="ignore"):
-        size = min(n, len(words))
-        h = np.full(len(words) - size + 1, size, np.uint64)
-        for k in range(size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k]
-        h = np.sort(mixed(h) & np.uint64(0xFFFFFFFFFFFF0000))  # 48 bits: bytes of zeros cost nothing when shuffled
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
-
-
-def signature(tokens: np.ndarray) -> bytes:
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(tokens.tobytes())
-
-
-def pack(values: np.ndarray) -> bytes:
-    """Byte planes: sorted or small numbers then compress well."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-
-
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
-
-
-ONE, MANY, LOCAL, META = range(4)
-BLOBS = "bucket int, block long, kind int, a binary, b binary, c binary"
-
-
-def blob_rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["bucket", "block", "kind", "a", "b", "c"])
-
-
-def whole(text: bytes) -> Iterator[tuple[int, bytes]]:
-    yield 0, text
-
-
-def by_line(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """Number and bytes of each line; those without words are left out."""
-    return ((i, line) for i, line in enumerate(text.split(b"\n")) if line.strip())
-
-
-def home(number: int, bits: int) -> int:
-    """The bucket in which a block's own blobs travel: by all of the block's number, so that no bucket gets many of them."""
-    return int(mixed(np.array([number], np.uint64))[0]) & ((1 << bits) - 1)
-
-
-def scatter(n: int, bits: int, units=whole):
-    """Rows (doc_id, text_key, text) -> blobs of each block of units: its tokens by bucket, and what it needs afterwards."""
-
-    def block(number: int, rows: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
-        keys = [signature(s) for s in sets]
-        first: dict[bytes, int] = {}
-        posts = [first.setdefault(k, i) == i for i, k in enumerate(keys)]
-        tokens = np.concatenate([s for s, p in zip(sets, posts, strict=True) if p] or [np.empty(0, np.uint64)])
-        owner = np.repeat(np.flatnonzero(posts).astype(np.uint32), [len(s) for s, p in zip(sets, posts, strict=True) if p])
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, int)
-        counts = np.diff(np.append(starts, len(tokens))).astype(np.uint32)
-        alone, many = starts[counts == 1], starts[counts > 1]
-        repeated = np.repeat(counts > 1, counts)
-        out = [(home(number, bits), number, LOCAL, pack(tokens[repeated]), pack(owner[repeated]), None)]
-        out.append((home(number, bits), number, META, ids(rows, 0), ids(rows, 1), b"".join(keys) + np.array([len(s) for s in sets], np.uint32).tobytes() + np.array([r[2] for r in rows], np.uint32).tobytes()))
-        for kind, at, second in ((ONE, alone, owner[alone]), (MANY, many, counts[counts > 1])):
-            values = tokens[at]
-            cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
-            for bucket, (x, y) in enumerate(zip(np.split(values, cuts), np.split(second, cuts), strict=True)):
-                if len(x):
-                    out.append((bucket, number, kind, pack(x), pack(y), None))
-        return blob_rows(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, sets, size = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for line, unit in units(row[2] or b""):
-                    sets.append(ngrams(word_hashes(unit), n))
-                    rows.append((*row[:2], line))
-                    size += len(sets[-1])
-                    if size >= BLOCK_TOKENS or len(rows) >= BLOCK_ROWS:
-                        yield block(number, rows, sets)
-                        number, rows, sets, size = number + 1, [], [], 0
-        if rows:
-            yield block(number, rows, sets)
-
-    return run
-
-
-def ids(rows: list[tuple], column: int) -> bytes:
-    """A column of longs; nulls by a byte each behind them."""
-    values = [r[column] for r in rows]
-    return np.array([v or 0 for v in values], np.int64).tobytes() + bytes(v is None for v in values)
-
-
-def ids_back(data: bytes) -> list[int | None]:
-    n = len(data) // 9
-    return [None if gone else v for v, gone in zip(np.frombuffer(data, np.int64, n).tolist(), data[8 * n :], strict=True)]
-
-
-def count_bucket(group: pa.Table) -> pa.Table:
-    """A bucket's tokens: those that occur twice or more go back to their blocks with their counts."""
-    rows = group.to_pylist()
-    out = [(0, r["block"], r["kind"], r["a"], r["b"], r["c"]) for r in rows if r["kind"] in (LOCAL, META)]
-    rows = [r for r in rows if r["kind"] in (ONE, MANY)]
-    if rows:
-        tokens = [unpack(r["a"], np.uint64) for r in rows]
-        seconds = [unpack(r["b"], np.uint32) for r in rows]
-        sizes = [len(t) for t in tokens]
-        at = np.repeat(np.arange(len(rows)), sizes)
-        alone = np.repeat([r["kind"] == ONE for r in rows], sizes)
-        token, second = np.concatenate(tokens), np.concatenate(seconds)
-        order = np.argsort(token, kind="stable")
-        ordered = token[order]
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        df = np.add.reduceat(np.where(alone, 1, second)[order].astype(np.int64), starts)
-        count = np.empty(len(token), np.int64)
-        count[order] = np.repeat(df, np.diff(np.append(starts, len(token))))
-        keep = count >= 2
-        for i in np.unique(at[keep]):
-            low, high = np.searchsorted(at, [i, i + 1])
-            mine = low + np.flatnonzero(keep[low:high])
-            out.append((0, rows[i]["block"], rows[i]["kind"], pack(token[mine]), pack(second[mine]), pack(np.minimum(count[mine], 2**32 - 1).astype(np.uint32))))
-    return pa.Table.from_batches([blob_rows(out)]) if out else blob_table()
-
-
-def blob_table() -> pa.Table:
-    return pa.Table.from_batches([blob_rows([])])
-
-
-NODES = "doc_id long, text_key long, line long, n long, key binary, tokens array<long>, mins array<long>"
-
-
-def assemble_block(share: int):
-    """A block's rows with their set's size and key; tokens that occur elsewhere, rarest first, if enough to link."""
-
-    def run(group: pa.Table) -> pa.Table:
-        tokens, owner, count, later = [], [], [], {}
-        many: list[tuple] = []
-        for r in group.to_pylist():
-            if r["kind"] == META:
-                doc_ids, text_keys = ids_back(r["a"]), ids_back(r["b"])
-                keys = r["c"][: 16 * len(doc_ids)]
-                n, line = np.frombuffer(r["c"], np.uint32, offset=len(keys)).astype(np.int64).reshape(2, -1)
-            elif r["kind"] == LOCAL:
-                later = {"token": unpack(r["a"], np.uint64), "owner": unpack(r["b"], np.uint32)}
-            elif r["kind"] == ONE:
-                tokens.append(unpack(r["a"], np.uint64))
-                owner.append(unpack(r["b"], np.uint32))
-                count.append(unpack(r["c"], np.uint32))
-            else:
-                many.append((unpack(r["a"], np.uint64), unpack(r["c"], np.uint32)))
-        if len(later["token"]):
-            known, df = np.concatenate([m[0] for m in many]), np.concatenate([m[1] for m in many])
-            order = np.argsort(known)
-            tokens.append(later["token"])
-            owner.append(later["owner"])
-            count.append(df[order][np.searchsorted(known[order], later["token"])])
-        token, who, df = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((tokens, np.uint64), (owner, np.uint32), (count, np.uint32)))
-        enough = np.bincount(who, minlength=len(n)) >= np.maximum(1, -(-share * n // 100))
-        keep = enough[who]
-        token, who, df = token[keep], who[keep], df[keep]
-        order = np.lexsort((token, df, who))
-        token, who = token[order], who[order]
-        sizes = np.bincount(who, minlength=len(n))
-        ends = np.cumsum(sizes)
-        with np.errstate(over="ignore"):
-            mins = [np.minimum.reduceat(mixed(token * m), (ends - sizes)[enough]).view(np.int64) for m in MULTIPLIERS[:MIN_HASHES]] if len(token) else []
-        mask = pa.array(~enough)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(token.view(np.int64)), mask=mask)
-        low = np.concatenate(([0], np.cumsum(np.where(enough, MIN_HASHES, 0)))).astype(np.int32)
-        low_values = np.stack(mins, 1).ravel() if len(mins) else np.empty(0, np.int64)
-        names = ["doc_id", "text_key", "line", "n", "key", "tokens", "mins"]
-        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(text_keys, pa.int64()), pa.array(line), pa.array(n), pa.array([keys[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary()), lists, pa.ListArray.from_arrays(pa.array(low), pa.array(low_values), mask=mask)], names)
-
-    return run
-
-
-def needed(n: Column, share: int) -> Column:
-    """ceil(share % of n), in whole numbers."""
-    return F.floor((n * share + 99) / 100)
-
-
-def alike(a: Column, b: Column, share: int) -> Column:
-    """Whether sets of sizes a and b can reach the threshold."""
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * share)
-
-
-def verify(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
-    """a, b: the pairs(a, b) whose sets' Jaccard similarity reaches share %, compared exactly. Only sets in pairs move."""
-    pairs = save(pairs.distinct(), "pairs")
-    few = pairs.count() <= FEW_PAIRS
-    held = lambda df: F.broadcast(df) if few else df
-    left = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")).join(held(pairs), "a")
-    right = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")).join(held(pairs.select("b").distinct()), "b", "left_semi")
-    met = left.join(right, "b").where(alike(F.col("n_a"), F.col("n_b"), share))
-    both = F.size(F.array_intersect("t_a", "t_b"))
-    found = save(met.where(both * 100 >= share * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"), "links")
-    discard(pairs)
-    return found
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -281,9 +49,7 @@ def link_nodes(nodes: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     links = verify(stars.select(F.col("key").alias("a"), F.col("first.key").alias("b")), nodes, share)
     labels = components(links)
 
-    prefix = F.slice("tokens", F.lit(1), (F.size("tokens") - needed(F.col("n"), share) + 1).cast("int"))
-    skipped = F.col("n") - F.size("tokens")
-    posts = save(nodes.select("key", "n", F.posexplode(prefix).alias("pos", "token"), skipped.alias("skipped")).select("key", "n", "token", (F.col("n") - F.col("pos") - F.col("skipped")).alias("left")), "posts")
+    posts = save(prefix_posts(nodes, share), "posts")
     for turn in range(LEADER_TURNS):
         held = labelled(posts, labels)
         pairs = held.join(crossing(held, turn), "token").where((F.col("comp") != F.col("leader_comp")) & alike(F.col("n"), F.col("leader_n"), share))
@@ -292,7 +58,6 @@ def link_nodes(nodes: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
             break
         links = links.union(more)
         labels = components(links)
-        release(links)
 
     links = links.union(open_groups(nodes, labelled(posts, labels), labels, share))
     discard(posts)
@@ -364,41 +129,26 @@ def open_seat(share: int):
     return run
 
 
-def unit_classes(docs: DataFrame, n: int, share: int, id_col: str, text_col: str, units) -> DataFrame:
-    """doc_id, text_key, line, n, comp for each unit: comp is the same for units that links connect, null without words."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), docs[text_col].cast("binary").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(size / 6 / BUCKET_TOKENS, partitions(docs), 1)))))
-    blobs = rows.mapInArrow(scatter(n, bits, units), BLOBS)
-    counted = blobs.groupBy("bucket").applyInArrow(count_bucket, BLOBS)
-    table = save(counted.groupBy("block").applyInArrow(assemble_block(share), NODES), "nodes")
-    nodes = save(table.where("tokens is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("mins").alias("mins")), "sets")
-    units_only = save(table.select("doc_id", "text_key", "line", "n", "key"), "units")
-    discard(table)
-    release(table)
-    _, labels = link_nodes(nodes, share)
-    discard(nodes)
-    held = labelled(units_only, labels)
-    return held.select("doc_id", "text_key", "line", "n", F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
-
-
 def near_classes(docs: DataFrame, n: int = 5, share: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row of docs: doc_id, text_key, n_shingles, component_id, first_key.
+    """For each row of docs: doc_id, text_key, n_shingles, component_id, first.
 
     Rows link when 100 * intersection >= share * union of their n-gram sets; component_id is the smallest doc_id (null
     only if all are null) that links reach, the row's own included. Rows without words (null, empty or blank texts) have
     an empty set, no links and their own doc_id. Fewer words than n make one token. Repeated rows, and rows that share an
     id, are rows of their own. text_key is xxhash64 of the text; first is the smallest (doc_id, text_key) of the class,
     nulls first. Other columns are not read. An empty table gives an empty result.
-    docs must come from storage, or anything else that gives a partition's rows in the same order when it is read again.
     """
-    held = unit_classes(docs, n, share, id_col, text_col, whole)
-    full = held.where("comp is not null")
+    found = token_units(docs, n, share, id_col, text_col, whole, every=True)
+    nodes = save(found.where("tokens is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("mins").alias("mins")), "sets")
+    _, labels = link_nodes(nodes, share)
+    discard(nodes)
+    held = labelled(found.select("doc_id", "text_key", "n", "key"), labels)
+    full = held.where("n > 0")
     least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("rows"))
     least = save(least.where("rows > 1").drop("rows"), "classes")  # the others are alone: their own row says it all
     done = full.join(fitting(least), "comp", "left").withColumn("shared", F.col("first").isNotNull())
     done = done.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("shared"), F.col("first")).otherwise(F.struct("doc_id", "text_key")).alias("first"))
-    alone = held.where("comp is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.struct("doc_id", "text_key").alias("first"))
+    alone = held.where("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.struct("doc_id", "text_key").alias("first"))
     return done.union(alone)
 
 

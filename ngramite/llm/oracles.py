@@ -121,7 +121,7 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
 ORACLES["op4_exact_topk"] = TOP
 
 LINES = r"""
-WITH RECURSIVE l AS (
+WITH l AS (
   SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS txt FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
 ), w AS (
   SELECT doc_id, line, regexp_extract_all(translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM l
@@ -131,13 +131,11 @@ WITH RECURSIVE l AS (
 ), p AS (
   SELECT rid, len(sh) AS n, unnest(sh) AS t FROM s
 ), links AS (
-  SELECT a.rid AS x, b.rid AS y FROM p a JOIN p b ON a.t = b.t AND a.rid <> b.rid AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  SELECT a.rid AS x, b.rid AS y FROM p a JOIN p b ON a.t = b.t AND b.rid < a.rid AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
   GROUP BY a.rid, b.rid HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
-), reach(x, y) AS (
-  SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
 ), gone AS (
   SELECT s.doc_id, count(DISTINCT line) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS listed
-  FROM s WHERE rid IN (SELECT x FROM reach WHERE y < x) GROUP BY s.doc_id
+  FROM s WHERE rid IN (SELECT x FROM links) GROUP BY s.doc_id
 )
 SELECT d.doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines, CAST(coalesce(gone.n, 0) AS INT) AS n_removed, coalesce(listed, '') AS removed_lines
 FROM documents d LEFT JOIN gone USING (doc_id)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ngramite.llm import chat, decontaminate, graph, line_dedup, mixing, ngram_join, quality, secrets, token_counts, topk, warc
+from ngramite.llm import chat, decontaminate, graph, line_dedup, mixing, ngram_join, quality, secrets, token_counts, token_sets, topk, warc
 from ngramite.llm.common import scratch_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, key string, comp string"
@@ -65,7 +65,8 @@ def sizes(request, monkeypatch):
     if request.param == "small blocks":
         monkeypatch.setattr(ngram_join, "GROUP_SIZE", 4)
         monkeypatch.setattr(ngram_join, "LEADER_TURNS", 0)
-        monkeypatch.setattr(ngram_join, "MIN_HASHES", 1)
+        monkeypatch.setattr(token_sets, "MIN_HASHES", 1)
+        monkeypatch.setattr(token_sets, "BLOCK_ROWS", 7)
 
 
 def test_near_classes(spark, sizes):
@@ -80,11 +81,13 @@ def test_near_classes(spark, sizes):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_no_bucket_carries_all_blocks(spark):
-    rows = spark.range(0, 64, numPartitions=64).selectExpr("id", "id AS text_key", "cast(concat('some words of ', id) AS binary) AS text")
-    blobs = rows.mapInArrow(ngram_join.scatter(5, 6), ngram_join.BLOBS).where(F.col("kind").isin(ngram_join.LOCAL, ngram_join.META))
-    per = [r["count"] for r in blobs.groupBy("bucket").count().collect()]
-    assert sum(per) == 128 and max(per) <= 16 and len(per) >= 32
+def test_blocks_of_many_partitions_spread_over_buckets(spark):
+    """Only tokens travel by bucket, to all of them; a block's own rows never do."""
+    rows = spark.range(0, 64, numPartitions=64).selectExpr("id", "id AS text_key", "cast(concat_ws(' ', transform(sequence(1, 200), x -> concat(id, '-', x))) AS binary) AS text")
+    blobs = rows.mapInArrow(token_sets.scatter(5, 6), token_sets.BLOBS).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.octet_length("a")).alias("bytes")).collect()
+    own = [r for r in blobs if r.bucket is None]
+    per = [r.bytes for r in blobs if r.bucket is not None]
+    assert own[0].n == 128 and len(per) == 64 and max(per) < 2 * min(per)
 
 
 def test_keep_one(spark):
@@ -96,20 +99,81 @@ def test_keep_one(spark):
     assert kept.count() == len({r for r, (_, t, _) in zip(roots, rows, strict=True) if shingles(t)}) + empty
 
 
+def line_sets(t, n):
+    out = []
+    for k, line in enumerate((t or "").split("\n")):
+        w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
+        if w:
+            out.append((k, frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))))
+    return out
+
+
+def removed_by_brute_force(spark, table, n):
+    """{(doc_id, text_key): numbers of lines that match an earlier one}."""
+    rows = sorted({(r.doc_id is not None, r.doc_id or 0, r.k, r.text) for r in table.select("doc_id", F.xxhash64("text").alias("k"), "text").collect()}, key=lambda r: r[:3])
+    before, gone = [], {}
+    for known, i, k, t in rows:
+        for line, s in line_sets(t, n):
+            if any(4 * len(s & x) >= 3 * len(s | x) for x in before):
+                gone.setdefault((i if known else None, k), []).append(line)
+            before.append(s)
+    return gone
+
+
 def test_line_dedup(spark):
     long = text(40)
     near = long.split()
     near[0] = "new"
     rows = [(1, f"{long}\n\nhead\n{text(30)}\nhead", "a"), (2, f"{' '.join(near)}\nown {text(20)}", "a"), (3, long, "a"), (4, None, "a"), (5, "", "a"), (None, f"head\n{text(9)}", "a"), (2, f"{' '.join(near)}\nown {text(20)}", "b"), (6, long.upper() + "\n", None)]
-    order = sorted(((i is not None, i or 0, k, n) for k, (i, t, _) in enumerate(rows) if t for n, line in enumerate(t.split("\n")) if shingles(line)), key=lambda x: x[:2])
     got = {(r.doc_id, r.n_lines): r.removed for r in line_dedup.decide(docs(spark, rows)).collect()}
-    assert len(order) and got[(None, 2)] == [] and got[(1, 5)] == [2, 4] and got[(3, 1)] == [0] and got[(4, 0)] == [] and got[(5, 1)] == [] and got[(6, 2)] == [0]
+    assert got[(None, 2)] == [] and got[(1, 5)] == [2, 4] and got[(3, 1)] == [0] and got[(4, 0)] == [] and got[(5, 1)] == [] and got[(6, 2)] == [0]
     out = line_dedup.drop_lines(docs(spark, rows))
     assert out.columns == docs(spark, rows).columns
     left = {r.doc_id: r for r in out.collect()}
     assert 3 not in left and 6 not in left and 4 in left and 5 in left and left[1].n_chars == len(left[1].text) and "head" not in left[1].text
 
 
+@pytest.mark.parametrize("n", [1, 5])
+@pytest.mark.parametrize("cell", [256, 3])
+def test_line_dedup_against_brute_force(spark, monkeypatch, n, cell):
+    """Clusters whose members don't all match each other, in any order of ids; repeated rows; lists longer than a cell."""
+    monkeypatch.setattr(line_dedup, "CELL", cell)
+    monkeypatch.setattr(token_sets, "BLOCK_ROWS", 60_000 if cell == 256 else 11)
+    rng = np.random.default_rng(n)
+    rows = []
+    for c in range(6):
+        base = text(60, rng).split()
+        for _ in range(14):
+            words = list(base)
+            for at in rng.integers(0, 60, int(rng.integers(0, 5))):
+                words[at] = f"x{rng.integers(1000)}"
+            rows.append((int(rng.integers(0, 60)), " ".join(words) + "\n" + " ".join(rng.choice(WORDS[:12], int(rng.integers(1, 9)))), "a"))
+    rows += [(i, t, "b") for i, t, _ in rows[:5]] + [(None, rows[7][1], "a"), (70, None, "a"), (71, "", "a"), (72, " \n\t", "a"), (73, text(20_000, rng), "a"), (74, rows[3][1].upper(), "c")]
+    table = docs(spark, rows)
+    want = removed_by_brute_force(spark, table, n)
+    got = {(r.doc_id, r.text_key): r.removed for r in line_dedup.removed_lines(table, n=n).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_line_dedup_keeps_what_matches_no_earlier_line(spark):
+    """A - C - B in a row: A matches B and B matches C, but A doesn't match C, which is earlier than B: C stays."""
+    a = [f"a{i}" for i in range(44)]
+    b, c = [*a[:40], "b1", "b2"], [*a[6:40], "b1", "b2", "c1", "c2"]
+    sets = [line_sets(" ".join(x), 5)[0][1] for x in (a, b, c)]
+    like = lambda x, y: len(x & y) / len(x | y) >= 0.75
+    assert like(sets[0], sets[1]) and like(sets[1], sets[2]) and not like(sets[0], sets[2])
+    table = docs(spark, [(1, " ".join(a), None), (2, " ".join(c), None), (3, " ".join(b), None)])
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(table).collect()} == {3: [0]}
+
+
+def test_line_dedup_by_words(spark):
+    """With words as tokens, lines of 15 words that differ in one match (14 of 16); five-word shingles leave them."""
+    one = [f"w{i}" for i in range(15)]
+    two = [*one[:7], "other", *one[8:]]
+    table = docs(spark, [(1, " ".join(one), None), (2, " ".join(two), None)])
+    assert [r.doc_id for r in line_dedup.removed_lines(table, n=1).collect()] == [2] and line_dedup.removed_lines(table).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (100, 101), (7, 7)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
