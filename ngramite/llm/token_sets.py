@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import discard, partitions, save
 
 #: Tokens and units in a block (units are numbered by 16 bits), tokens that a bucket should hold, minimum hashes of a set.
-BLOCK_TOKENS, BLOCK_ROWS, BUCKET_TOKENS, MIN_HASHES = 1_000_000, 60_000, 2_000_000, 4
+BLOCK_TOKENS, BLOCK_ROWS, BUCKET_TOKENS, MIN_HASHES = 400_000, 60_000, 800_000, 4
 #: Pairs up to which they are broadcast to the sets (32 bytes each); beyond, they are joined by shuffle.
 FEW_PAIRS = 200_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
