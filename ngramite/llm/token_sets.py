@@ -1,10 +1,11 @@
 """Texts or lines as sets of hashed word n-grams ("tokens") in order of rarity, for the exact set-similarity joins.
 
 1. Every unit (a text, or a line of one) becomes a set of tokens, each a hash of 48 bits: of two sets of 300 that are
-   compared, different n-grams are taken for equal with a chance of 3e-10. Units are gathered in blocks, which are written
-   to the shared folder: a block keeps its number, whatever is computed again later.
+   compared, different n-grams are taken for equal with a chance of 3e-10. Units are gathered in blocks. A block's number
+   is a hash of what it holds, and it counts what comes back to it: if a lost partition were computed again with its rows
+   in another order, blocks would fail instead of being mixed up.
 2. Blocks send their tokens to hash buckets, which sum how many sets hold each token. What occurs twice or more goes back.
-   A block's own rows never pass through a bucket.
+   A block's own rows travel in a bucket that its number names, so no bucket gets many of them.
 3. A set that links to another shares at least the threshold's part of its tokens with it, so a set with fewer tokens that
    occur twice links with nothing, and all others need only those tokens: overlaps are sums over them.
 """
@@ -106,14 +107,19 @@ def by_line(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
     return ((i, words) for i, line in enumerate(text.lower().split(b"\n")) if (words := line.split()))
 
 
+def home(number: int, bits: int) -> int:
+    """The bucket in which a block's own rows travel."""
+    return number & ((1 << bits) - 1)
+
+
 def scatter(n: int, bits: int, units: Callable = whole):
     """Rows (doc_id, text_key, text) -> blobs of each block of units: its tokens by bucket, and what it needs afterwards.
 
     Of equal sets in a block only the first by (doc_id, text_key, number), null ids first, sends its tokens.
     """
-    from xxhash import xxh3_128_digest
+    from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-    def block(number: int, rows: list[tuple], words: list[bytes], counts: list[int]) -> pa.RecordBatch:
+    def block(serial: int, rows: list[tuple], words: list[bytes], counts: list[int]) -> pa.RecordBatch:
         tokens, owner = ngrams(words, np.array(counts, np.int64), n)
         sizes = np.bincount(owner, minlength=len(rows))
         ends = np.cumsum(sizes) * 8
@@ -138,9 +144,11 @@ def scatter(n: int, bits: int, units: Callable = whole):
         counts = np.diff(np.append(starts, len(tokens))).astype(np.uint32)
         alone, many = starts[counts == 1], starts[counts > 1]
         repeated = np.repeat(counts > 1, counts)
-        out = [(None, number, LOCAL, pack_sorted(tokens[repeated]), pack(owner[repeated]), None)]
         numbers = np.concatenate((sizes.astype(np.uint32), np.array([r[2] for r in rows], np.uint32), state))
-        out.append((None, number, META, ids(rows, 0), ids(rows, 1), b"".join(keys) + pack(numbers)))
+        doc_ids, text_keys, more = ids(rows, 0), ids(rows, 1), b"".join(keys) + pack(numbers)
+        number = xxh3_64_intdigest(doc_ids + text_keys + more, serial) >> 1
+        out = [(home(number, bits), number, LOCAL, pack_sorted(tokens[repeated]), pack(owner[repeated]), len(starts).to_bytes(8, "little"))]
+        out.append((home(number, bits), number, META, doc_ids, text_keys, more))
         for kind, at, second in ((ONE, alone, owner[alone]), (MANY, many, counts[counts > 1])):
             values = tokens[at]
             cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
@@ -150,7 +158,7 @@ def scatter(n: int, bits: int, units: Callable = whole):
         return blob_rows(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, words, counts = TaskContext.get().partitionId() << 32, [], [], []
+        serial, rows, words, counts = TaskContext.get().partitionId() << 32, [], [], []
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for line, unit in units(row[2] or b""):
@@ -158,10 +166,10 @@ def scatter(n: int, bits: int, units: Callable = whole):
                     words += unit
                     counts.append(len(unit))
                     if len(words) >= BLOCK_TOKENS or len(rows) >= BLOCK_ROWS:
-                        yield block(number, rows, words, counts)
-                        number, rows, words, counts = number + 1, [], [], []
+                        yield block(serial, rows, words, counts)
+                        serial, rows, words, counts = serial + 1, [], [], []
         if rows:
-            yield block(number, rows, words, counts)
+            yield block(serial, rows, words, counts)
 
     return run
 
@@ -178,25 +186,28 @@ def ids_back(data: bytes, at: np.ndarray) -> pa.Array:
 
 
 def count_bucket(group: pa.Table) -> pa.Table:
-    """A bucket's tokens: those that occur twice or more go back to their blocks with their counts."""
+    """A bucket's tokens: those that occur twice or more go back to their blocks with their counts.
+
+    In the answer to a block, bucket is the number of tokens that came from it.
+    """
     rows = group.to_pylist()
-    tokens = [unpack_sorted(r["a"]) for r in rows]
-    seconds = [unpack(r["b"], np.uint32) for r in rows]
-    starts = np.cumsum([0, *map(len, tokens)])
-    alone = np.repeat([r["kind"] == ONE for r in rows], [len(t) for t in tokens])
-    token = np.concatenate(tokens)
-    order = np.argsort(token)
-    ordered = token[order]
-    new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    df = np.add.reduceat(np.where(alone, 1, np.concatenate(seconds))[order].astype(np.int64), new)
-    count = np.empty(len(token), np.int64)
-    count[order] = np.repeat(df, np.diff(np.append(new, len(token))))
-    out = []
-    for i, r in enumerate(rows):
-        own = count[starts[i] : starts[i + 1]]
-        mine = np.flatnonzero(own >= 2)
-        if len(mine):
-            out.append((None, r["block"], r["kind"], pack_sorted(tokens[i][mine]), pack(seconds[i][mine]), pack(np.minimum(own[mine], 2**32 - 1).astype(np.uint32))))
+    out = [(0, r["block"], r["kind"], r["a"], r["b"], r["c"]) for r in rows if r["kind"] in (LOCAL, META)]
+    if rows := [r for r in rows if r["kind"] in (ONE, MANY)]:
+        tokens = [unpack_sorted(r["a"]) for r in rows]
+        seconds = [unpack(r["b"], np.uint32) for r in rows]
+        starts = np.cumsum([0, *map(len, tokens)])
+        alone = np.repeat([r["kind"] == ONE for r in rows], [len(t) for t in tokens])
+        token = np.concatenate(tokens)
+        order = np.argsort(token)
+        ordered = token[order]
+        new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        df = np.add.reduceat(np.where(alone, 1, np.concatenate(seconds))[order].astype(np.int64), new)
+        count = np.empty(len(token), np.int64)
+        count[order] = np.repeat(df, np.diff(np.append(new, len(token))))
+        for i, r in enumerate(rows):
+            own = count[starts[i] : starts[i + 1]]
+            mine = np.flatnonzero(own >= 2)
+            out.append((len(own), r["block"], r["kind"], pack_sorted(tokens[i][mine]), pack(seconds[i][mine]), pack(np.minimum(own[mine], 2**32 - 1).astype(np.uint32))))
     return pa.Table.from_batches([blob_rows(out)])
 
 
@@ -209,20 +220,23 @@ def assemble_block(share: int, every: bool):
     """A block's units as rows of UNITS: all of them, or only copies and sets with enough tokens to link."""
 
     def run(group: pa.Table) -> pa.Table:
-        tokens, owner, count, many = [], [], [], []
+        tokens, owner, count, many, own, doc_ids, answered, sent = [], [], [], [], [], None, 0, -1
         for r in group.to_pylist():
+            answered += r["bucket"]
             if r["kind"] == META:
                 n_rows = len(r["a"]) // 9
                 doc_ids, text_keys, keys = r["a"], r["b"], r["c"][: 16 * n_rows]
                 n, line, state = unpack(r["c"][16 * n_rows :], np.uint32).astype(np.int64).reshape(3, -1)
             elif r["kind"] == LOCAL:
-                own, own_unit = unpack_sorted(r["a"]), unpack(r["b"], np.uint32)
+                own, own_unit, sent = unpack_sorted(r["a"]), unpack(r["b"], np.uint32), int.from_bytes(r["c"], "little")
             elif r["kind"] == ONE:
                 tokens.append(unpack_sorted(r["a"]))
                 owner.append(unpack(r["b"], np.uint32))
                 count.append(unpack(r["c"], np.uint32))
             else:
                 many.append((unpack_sorted(r["a"]), unpack(r["c"], np.uint32)))
+        if doc_ids is None or answered != sent:
+            raise ValueError("a block is incomplete: a partition of the input gave other rows, or another order, when it was read again")
         if len(own):
             known, df = np.concatenate([m[0] for m in many]), np.concatenate([m[1] for m in many])
             order = np.argsort(known)
@@ -253,12 +267,8 @@ def token_units(docs: DataFrame, n: int, share: int, id_col: str, text_col: str,
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), docs[text_col].cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(size / 6 / BUCKET_TOKENS, partitions(docs), 1)))))
-    blobs = save(rows.mapInArrow(scatter(n, bits, units), BLOBS), "blobs")
-    counted = blobs.where(F.col("kind").isin(ONE, MANY)).groupBy("bucket").applyInArrow(count_bucket, BLOBS)
-    blocks = blobs.where(F.col("kind").isin(LOCAL, META)).union(counted)
-    found = save(blocks.groupBy("block").applyInArrow(assemble_block(share, every), UNITS), "units")
-    discard(blobs)
-    return found
+    counted = rows.mapInArrow(scatter(n, bits, units), BLOBS).groupBy("bucket").applyInArrow(count_bucket, BLOBS)
+    return save(counted.groupBy("block").applyInArrow(assemble_block(share, every), UNITS), "units")
 
 
 def needed(n: Column, share: int) -> Column:
