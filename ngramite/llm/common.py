@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, fitting, save, scratch_path, shared_dir  # noqa: F401
+
 #: A word: a maximal run of anything but the ASCII white space of this class.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,50 +16,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    Where neither is set, a local session (driver and executors are one process) gets a temporary folder; a cluster's raises.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="ngramite-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = f"file://{found}"
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ngramite/{name}-{uuid.uuid4().hex}"
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, and outlives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def ceil_rows(df: DataFrame, part: int) -> int:
+    """Parts of so many rows that df makes, one at least."""
+    return max(1, -(-df.count() // part))
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what save() wrote, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+#: Elements that running_starts() sums at once.
+CHUNK = 128
 
 
-def fitting(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df marked for broadcast if it has at most so many (narrow) rows; else as it is, for a join by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def running_starts(name: str) -> Column:
+    """For an array column of longs: the sum of the elements before each. name must be a column, not an expression.
 
+    Arrays can't be appended to in place, so sums run in chunks: time grows with the length, and not with its square.
+    """
+    last = F.greatest(F.lit(0), F.floor((F.size(name) - 1) / CHUNK).cast("int"))
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(name, c * CHUNK + 1, CHUNK))
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def inner(at: Column, chunk: Column) -> Column:
+        none = F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(chunk, none, lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
 
+    def outer(acc: Column, chunk: Column) -> Column:
+        done = inner(acc["at"], chunk)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
 
-def ceil_div(a: Column, b: int) -> Column:
-    """Ceiling of a / b in whole numbers."""
-    return F.floor((a + F.lit(b - 1)) / F.lit(b)).cast("long")
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+    return F.aggregate(chunks, none, outer, lambda acc: F.flatten(acc["out"]))

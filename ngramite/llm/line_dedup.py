@@ -36,10 +36,12 @@ def removed_lines(docs: DataFrame, n: int = 5, share: int = 75, id_col: str = "d
     rows = found.where(~F.col("copy")).select("key", "n", "tokens", F.struct(*PLACE).alias("place"))
     sets = save(rows.groupBy("key").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("rows")), "sets")
     repeated = fitting(save(sets.where("rows > 1").select("key", F.col("place").alias("first")), "repeated"))
-    later = rows.join(repeated, "key").where(~F.col("place").eqNullSafe(F.col("first")))
+    later = rows.join(repeated, "key").where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*")
+    later = save(found.where("copy").select(*PLACE).union(later), "later")
+    discard(found)
     matched = save(sets.join(fitting(matches(sets, share)), "key", "left_semi").select("place.*"), "matched")
     discard(sets)
-    gone = found.where("copy").select(*PLACE).union(later.select("place.*")).union(matched)
+    gone = later.union(matched)
     return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("removed"))
 
 
