@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import running_starts, save
 
 OPEN, MID, CLOSE = "### ", ":\n", "\n</turn>\n"
 
@@ -78,16 +78,13 @@ def render(branches: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Data
     """
     none = lambda x: F.coalesce(x, F.lit(""))
     turns = F.transform("path", lambda t: F.struct(F.concat(F.lit(OPEN), escape(none(t["role"]), ":"), F.lit(MID)).alias("head"), escape(none(t["text"])).alias("body"), none(t["role"]).isin(*learn).alias("learn")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        at = acc["at"] + F.length(t["head"])
-        span = F.struct(at.cast("long").alias("start"), F.length(t["body"]).cast("long").alias("length"))
-        return F.struct((at + F.length(t["body"]) + F.lit(len(CLOSE))).cast("long").alias("at"), F.when(t["learn"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
     out = branches.withColumn("__turns", turns)
-    out = out.withColumn("formatted", F.array_join(F.transform("__turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), ""))
-    return out.withColumn("loss_spans", F.aggregate("__turns", start, step, lambda acc: acc["spans"])).drop("__turns")
+    out = out.withColumn("__lengths", F.transform("__turns", lambda t: (F.length(t["head"]) + F.length(t["body"]) + F.lit(len(CLOSE))).cast("long")))
+    out = out.withColumn("__starts", running_starts("__lengths"))
+    placed = F.filter(F.arrays_zip("__turns", "__starts"), lambda x: x["__turns"]["learn"])
+    spans = F.transform(placed, lambda x: F.struct((x["__starts"] + F.length(x["__turns"]["head"])).alias("start"), F.length(x["__turns"]["body"]).cast("long").alias("length")))
+    out = out.withColumn("loss_spans", spans)
+    return out.withColumn("formatted", F.array_join(F.transform("__turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")).drop("__turns", "__lengths", "__starts")
 
 
 def parse(formatted: Column) -> Column:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import discard, running_starts, save
 
 #: Fixed patterns of the base kinds, in the order in which spans at the same start are listed.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -38,17 +38,22 @@ STEPS = 320
 MARK, STAND_IN = "\u0001", "\u0002"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """(start, end, word) of each match, in code points. text must not hold MARK."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    none = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,end:int,word:string>>").alias("found"))
+def with_matches(rows: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """Adds an array column for each pattern: (start, end, word) of its matches in column text, in code points.
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("word"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
-
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, none, step, lambda acc: acc["found"])).otherwise(F.array().cast("array<struct<start:int,end:int,word:string>>"))
+    text must not hold MARK. Time grows with a text's length and the number of its matches.
+    """
+    kept = rows.columns
+    for name, pattern in patterns.items():
+        pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+        rows = rows.select(*kept, pieces.alias("__p"))
+        rows = rows.select(*kept, "__p", F.transform("__p", lambda p: F.length(p).cast("long")).alias("__l"))
+        rows = rows.select(*kept, "__p", "__l", F.when(F.size("__l") > 1, running_starts("__l")).otherwise(F.array(F.lit(0).cast("long"))).alias("__s"))
+        inside = F.filter(F.arrays_zip("__s", "__l", "__p"), lambda _, i: i % 2 == 1)  # pieces and matches take turns
+        found = F.transform(inside, lambda m: F.struct(m["__s"].cast("int").alias("start"), (m["__s"] + m["__l"]).cast("int").alias("end"), m["__p"].alias("word")))
+        kept = [*kept, name]
+        rows = rows.select(*kept[:-1], found.alias(name))
+    return rows
 
 
 def spans(found: Column, kind: int) -> Column:
@@ -142,25 +147,41 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     text = F.translate(F.coalesce(docs[text_col], F.lit("")), MARK, STAND_IN)  # in no pattern, of the same length
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("__t"))
-    assign = F.filter(matches(F.col("__t"), ASSIGN), lambda s: F.length(F.regexp_extract(s["word"], ASSIGN, 2)) >= 8)
-    access = F.filter(matches(F.col("__t"), ACCESS), lambda s: s["end"] - s["start"] >= 16)
-    hexes = matches(F.col("__t"), HEX_LONG)
-    base = F.sort_array(F.concat(spans(assign, 0), spans(access, 1), spans(hexes, 2)))
-    tokens = F.filter(matches(F.col("__t"), TOKEN), lambda s: s["word"].rlike("[0-9]") & s["word"].rlike("[A-Za-z]"))
+    rows = with_matches(rows, "__t", {"__assign": ASSIGN, "__access": ACCESS, "__hex": HEX_LONG, "__token": TOKEN})
+    assign = F.filter("__assign", lambda s: F.length(F.regexp_extract(s["word"], ASSIGN, 2)) >= 8)
+    access = F.filter("__access", lambda s: s["end"] - s["start"] >= 16)
+    base = F.sort_array(F.concat(spans(assign, 0), spans(access, 1), spans(F.col("__hex"), 2)))
+    tokens = F.filter("__token", lambda s: s["word"].rlike("[0-9]") & s["word"].rlike("[A-Za-z]"))
     rows = save(rows.select("doc_id", base.alias("base"), tokens.alias("tokens")).withColumn("row", F.monotonically_increasing_id()), "secrets")
 
-    found = rows.where(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("s")).select("row", "base", "s.start", "s.end", "s.word")
+    found = rows.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("s")).select("row", "s.start", "s.end", "s.word")
     step = F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), F.floor((F.log10(F.greatest("p", F.lit(1e-16))) + 16.0) * (STEPS / 16.0)))).cast("int")
     found = tests(found).withColumn("size_class", length_class(F.col("n"))).withColumn("step", step)
-    found = save(found.select("row", "base", "start", "end", "size_class", "step"), "tokens")
+    found = save(found.select("row", "start", "end", "size_class", "step"), "tokens")
     last = rejected(found.groupBy("size_class", "step").agg(F.count("*").alias("rows")))
-    clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    kept = found.join(F.broadcast(last), "size_class", "left").where((F.col("step") > F.coalesce("last", F.lit(-1))) & clear)  # a row a length class
-    extra = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end"))).alias("extra"))
+    kept = found.join(F.broadcast(last), "size_class", "left").where(F.col("step") > F.coalesce("last", F.lit(-1)))  # last: a row a length class
+    extra = save(uncovered(kept.select("row", "start", "end"), rows), "extra")
+    discard(found)
+    extra = extra.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end"))).alias("extra"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return rows.join(extra, "row", "left").select("doc_id", "base", F.coalesce("extra", none).alias("extra"))
 
 
+def uncovered(tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    """The tokens(row, start, end) that overlap with none of the base spans of their row: one pass over both in order."""
+    base = rows.where((F.size("base") > 0) & (F.size("tokens") > 0)).select("row", F.explode("base").alias("b"))
+    base = base.select("row", F.col("b.start").alias("at"), F.lit(1).alias("is_base"), "b.start", "b.end")
+    both = tokens.select("row", F.col("end").alias("at"), F.lit(0).alias("is_base"), "start", "end").union(base)
+    before = Window.partitionBy("row").orderBy("at", "is_base").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("is_base") == 1, F.col("end"))).over(before)  # of the base spans that start before a token's end
+    return both.withColumn("reach", reach).where((F.col("is_base") == 0) & (F.coalesce("reach", F.lit(0)) <= F.col("start"))).select("row", "start", "end")
+
+
+def counted(spans: Column, kind: int) -> Column:
+    """How many spans are of this kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     name = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
