@@ -6,6 +6,8 @@ first key. A lookup binary-searches the directory, then one block, and reads onl
 
 Spark's text sink writes the archives, so they go to any store that Spark writes to. It ends each row with a separator;
 a gzip member ends with its payload's length modulo 2^32, whose last byte is 0 below 16 MB, so that byte is the separator.
+Ranges are read by seeking, through Arrow's file systems. Of a store that those don't know, Spark reads the files that hold
+wanted ranges, each at once; a file ends with the record that takes it over FILE_BYTES.
 """
 
 from __future__ import annotations
@@ -15,18 +17,20 @@ import gzip
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import fitting, partitions, save
 
 SMALL = 100
-#: Records in an archive file, which is what Spark reads at once; ranges and directory rows up to which they are broadcast.
-FILE_RECORDS, MOST_RANGES, MOST_DIRECTORY = 10_000, 200_000, 500_000
+#: Compressed bytes after which a writer begins a new file; rows of the directory that go to all tasks, and their bytes.
+FILE_BYTES, MOST_DIRECTORY, DIRECTORY_BYTES = 32_000_000, 50_000, 16_000_000
+#: Keys that are searched for in a block at once; ranges no further apart than this are read together, up to so many bytes.
+BLOCK_KEYS, GAP, READ_BYTES = 5_000, 1 << 16, 1 << 23
 MEMBER = 1 << 24
 ID = "urn:x-page:"
 
@@ -87,20 +91,32 @@ def write_archives(pages: DataFrame, path: str, level: int = 3) -> None:
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     first = revisits(rows.select("page_id", "digest", F.octet_length("payload").alias("bytes")))
-    rows = rows.join(first, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    rows = rows.join(fitting(first), "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = size = 0
         for batch in batches:
-            out = [members(record(*row), level) for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first", "revisit")), strict=True)]
-            if not all(x.endswith(b"\0") for x in out):
-                raise ValueError("a gzip member doesn't end with a zero byte")
-            yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], ["record"])
-
-    rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+            out, files = [], []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first", "revisit")), strict=True):
+                data = members(record(*row), level)
+                if not data.endswith(b"\0"):
+                    raise ValueError("a gzip member doesn't end with a zero byte")
+                out.append(data[:-1])
+                files.append(file)
+                size += len(data)
+                if size >= FILE_BYTES:
+                    file, size = file + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int32())], ["record", "file"])
+
+    done = rows.mapInArrow(run, "record binary, file int")
+    done.select(F.col("record").cast("string").alias("value"), "file").write.option("lineSep", "\0").partitionBy("file").text(path)
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """key, file, at, length, page_id, kind: a row for each record of the archives under path, read from front to end."""
+    """key, file, at, length, page_id, kind: a row for each record of the archives under path, read from front to end.
+
+    A folder without archives gives no rows. A record that is cut off raises.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +150,8 @@ def records(content) -> Iterator[tuple[dict[str, str], int, int]]:
 def build_index(spark: SparkSession, path: str, block_lines: int = 1000) -> DataFrame:
     """first, last, lines, block: sorted index lines of the archives under path, block_lines to a compressed block.
 
-    A line is key, file, offset and length, tab-separated; the rows without their block are the sparse directory.
+    A line is key, file, offset and length, tab-separated; the rows without their block are the sparse directory. Records
+    with equal keys (repeated URLs, null ones too) have a line each. No records give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +187,9 @@ def unpack(index: DataFrame) -> DataFrame:
 def lookup(index: DataFrame, urls: DataFrame) -> DataFrame:
     """url, key, file, at, length: the captures of urls(url), by two binary searches.
 
-    The directory goes to the tasks up to MOST_DIRECTORY rows; beyond, keys meet the unpacked lines in a join.
+    Repeated URLs are looked up once; a null one is a URL like others. URLs without a capture give no rows, and empty
+    tables none. Other columns are not read. The directory goes to all tasks while it is small; beyond, keys meet the
+    unpacked lines in a join.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +197,18 @@ def lookup(index: DataFrame, urls: DataFrame) -> DataFrame:
             found = [(u, url_key(escaped(u))) for u in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([k for _, k in found], pa.string())], ["url", "key"])
 
-    wanted = urls.select(urls["url"].cast("string")).distinct().mapInArrow(keyed, "url string, key string")
-    blocks = index.withColumn("id", F.xxhash64("block"))
-    if index.count() > MOST_DIRECTORY:
+    wanted = urls.select(urls["url"].cast("string").alias("url")).distinct().mapInArrow(keyed, "url string, key string")
+    blocks = index.withColumn("id", F.xxhash64("first", "last", "block"))
+    rows, size = index.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("first") + F.octet_length("last")), F.lit(0))).first()
+    if rows > MOST_DIRECTORY or size > DIRECTORY_BYTES:
         return wanted.join(unpack(index), "key").select("url", "key", "file", "at", "length")
-    directory = sorted(map(tuple, blocks.select("first", "last", "id").collect()))
-    lasts = [x[1] for x in directory]
+    # The directory: at most MOST_DIRECTORY rows and DIRECTORY_BYTES, just counted.
+    directory = sorted(map(tuple, blocks.select("first", "last", "id").distinct().collect()))
+    shared = index.sparkSession.sparkContext.broadcast(directory)
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = shared.value
+        lasts = [x[1] for x in directory]
         for batch in batches:
             out = []
             for url, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -195,48 +218,94 @@ def lookup(index: DataFrame, urls: DataFrame) -> DataFrame:
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["url", "key", "id"])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for url, key, block in zip(*(batch.column(c).to_pylist() for c in ("url", "key", "block")), strict=True):
-                lines = zlib.decompress(block).decode().split("\n")
+    def search(asked: pa.Table, there: pa.Table) -> pa.Table:
+        out = []
+        for block in there["block"].to_pylist()[:1]:
+            lines = zlib.decompress(block).decode().split("\n")
+            for url, key in zip(asked["url"].to_pylist(), asked["key"].to_pylist(), strict=True):
                 n = bisect.bisect_left(lines, key + "\t")
                 while n < len(lines) and lines[n].startswith(key + "\t"):
                     _, file, at, length = lines[n].split("\t")
                     out.append((url, key, file, int(at), int(length)))
                     n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["url", "key", "file", "at", "length"])
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["url", "key", "file", "at", "length"])
+
+    hits = save(wanted.mapInArrow(to_blocks, "url string, key string, id long"), "hits")
+    parts = fitting(hits.groupBy("id").agg(F.ceil(F.count("*") / BLOCK_KEYS).cast("int").alias("parts")))
+    asked = hits.join(parts, "id").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
+    there = blocks.join(parts, "id").select("id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "block").toDF("at_id", "at_part", "block")
+    return asked.groupBy("id", "part").cogroup(there.groupBy("at_id", "at_part")).applyInArrow(search, "url string, key string, file string, at long, length long")
+
+
+def opened(uri: str):
+    """An archive to read ranges of, by Arrow's file systems: s3a: as s3:."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + uri.removeprefix("file:").lstrip("/"))
+    system, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+    return system.open_input_file(path)
 
-    hits = wanted.mapInArrow(to_blocks, "url string, key string, id long")
-    return hits.join(blocks.select("id", "block"), "id").mapInArrow(search, "url string, key string, file string, at long, length long")
+
+def seekable(uri: str) -> bool:
+    try:
+        opened(uri).close()
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
+
+
+def spans_of(read_at: Callable[[int, int], bytes], spans: list[tuple[int, int]]) -> Iterator[bytes]:
+    """The bytes of each (at, length) of spans, in ascending order, by read_at(length, at); neighbours are read together."""
+    k = 0
+    while k < len(spans):
+        start, end, n = spans[k][0], sum(spans[k]), k + 1
+        while n < len(spans) and spans[n][0] <= end + GAP and sum(spans[n]) - start <= READ_BYTES:
+            end, n = max(end, sum(spans[n])), n + 1
+        data = memoryview(read_at(end - start, start))
+        yield from (data[at - start : at - start + length] for at, length in spans[k:n])
+        k = n
 
 
 def read_ranges(spark: SparkSession, path: str, ranges: DataFrame, payload: bool = True) -> DataFrame:
     """The records at ranges(file, at, length) of the archives under path.
 
     page_id and refers_to long, url, kind; digest and bytes, taken from a response's payload as it was read and from a
-    revisit's headers; and the payload, if asked for. Spark has no source that reads byte ranges: a file, of FILE_RECORDS
-    records at most, is read at once, and only its ranges are decompressed.
+    revisit's headers; and the payload, if asked for. Ranges are tables read once, so save what takes long to compute;
+    repeated ranges give their record as often. No ranges give no rows.
     """
-    few = ranges.count() <= MOST_RANGES
-    wanted = ranges.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("ranges"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    wanted = ranges.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("ranges"))  # of one file, so few
     names = ["page_id", "refers_to", "url", "kind", "digest", "bytes", "payload"][: 7 if payload else 6]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     number = lambda uri: int(x) if (x := uri[len(ID) + 1 : -1]) else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(read_at: Callable[[int, int], bytes], ranges: list[dict]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for data in spans_of(read_at, [(r["at"], r["length"]) for r in ranges]):
+            f, body = parse(gzip.decompress(data))
+            response = f["WARC-Type"] == "response"
+            digest = hashlib.sha256(body).hexdigest() if response else f["WARC-Payload-Digest"].removeprefix("sha256:")
+            rows.append((number(f["WARC-Record-ID"]), number(f.get("WARC-Refers-To", f"<{ID}>")), f["WARC-Target-URI"], f["WARC-Type"], digest, len(body) if response else int(f["X-Payload-Length"]), body))
+            if len(rows) == 256:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names)
+                rows = []
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names)
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with opened(file) as archive:
+                    yield from rows_of(archive.read_at, spans)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, spans in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 view = memoryview(content.as_buffer())
-                for k in range(0, len(spans), 256):
-                    rows = []
-                    for s in spans[k : k + 256]:
-                        f, body = parse(gzip.decompress(view[s["at"] : s["at"] + s["length"]]))
-                        response = f["WARC-Type"] == "response"
-                        digest = hashlib.sha256(body).hexdigest() if response else f["WARC-Payload-Digest"].removeprefix("sha256:")
-                        rows.append((number(f["WARC-Record-ID"]), number(f.get("WARC-Refers-To", f"<{ID}>")), f["WARC-Target-URI"], f["WARC-Type"], digest, len(body) if response else int(f["X-Payload-Length"]), body))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names)
+                yield from rows_of(lambda n, at: view[at : at + n], spans)  # noqa: B023
 
     schema = "page_id long, refers_to long, url string, kind string, digest string, bytes long" + ", payload binary" * payload
-    return files.join(F.broadcast(wanted) if few else wanted, files["path"] == wanted["file"]).select("content", "ranges").mapInArrow(run, schema)
+    one = ranges.select("file").first()
+    if one is None or seekable(one[0]):
+        return wanted.repartition(partitions(ranges)).mapInArrow(seek, schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return files.join(fitting(wanted), files["path"] == wanted["file"]).select("content", "ranges").mapInArrow(cut, schema)
