@@ -44,20 +44,20 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most
 
 
 def offsets(rows: DataFrame, fine: int) -> DataFrame:
-    """Adds start: the sum of size over the rows of the same source that come earlier in the order of key.
+    """Adds start: the sum of size * rows over the rows of the same source that come earlier in the order of key.
 
     Running sums in three levels (coarse cells, fine cells, rows), so that no task holds a source; fine is the number of
     further hex digits that keeps a fine cell small.
     """
     rows = rows.withColumn("coarse", F.substring("key", 1, COARSE)).withColumn("fine", F.substring("key", COARSE + 1, fine))
-    cells = rows.groupBy("source", "coarse", "fine").agg(F.sum("size").alias("cell"))
+    cells = rows.groupBy("source", "coarse", "fine").agg(F.sum(F.col("size") * F.col("rows")).alias("cell"))
     coarse = cells.groupBy("source", "coarse").agg(F.sum("cell").alias("block"))
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     coarse = coarse.select("source", "coarse", F.coalesce(F.sum("block").over(before("source", "coarse")), F.lit(0)).alias("base"))
     cells = cells.withColumn("below", F.coalesce(F.sum("cell").over(before("source", "coarse", "fine")), F.lit(0))).drop("cell")
     cells = cells.alias("a").join(coarse.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.coarse") == F.col("b.coarse"))).select("a.source", "a.coarse", "a.fine", (F.col("a.below") + F.col("b.base")).alias("base"))
     within = Window.partitionBy("source", "coarse", "fine").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("rows")).over(within), F.lit(0)))
     joined = rows.alias("a").join(cells.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.coarse") == F.col("b.coarse")) & (F.col("a.fine") == F.col("b.fine")))
     return joined.select("a.*", (F.col("a.inside") + F.col("b.base")).alias("start")).drop("coarse", "fine", "inside")
 
@@ -74,18 +74,21 @@ def assign(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, sh
 
     size is the number of words, 0 for a null text. A copy is taken when its middle lies below its source's target, so a
     source's taken words differ from its target by at most half its largest document. Rows without words are taken never
-    and have no positions. Order within a source is that of md5(doc_id, seed): reruns agree. Repeated rows are rows of
-    their own; null sources form one source, null ids one place in the order. An empty table gives an empty result.
+    and have no positions. Order within a source is that of md5(doc_id, seed, md5(text)): reruns agree. Repeated rows are
+    placed together, one behind the other, and stay rows of their own, so neither null ids nor a row that is a third of a
+    source meet in one task; null sources form one source. An empty table gives an empty result.
     text_key (xxhash64 of the text) tells rows with the same id apart.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), F.xxhash64(docs[text_col]).alias("text_key"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = save(rows, "mix-sizes")
+    text = docs[text_col]
+    key = F.md5(F.concat_ws(":", F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(seed), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), F.xxhash64(text).alias("text_key"), key.alias("key"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = save(rows.groupBy("doc_id", "source", "text_key", "key", "size").agg(F.count("*").alias("rows")), "mix-sizes")
     n, fine = rows.count(), 1
     while cell_rows * 16 ** (fine + COARSE) < n:
         fine += 1
-    per = targets(rows, weights, share, most).withColumn("slope", cycle(slopes, F.col("nth")))
-    keyed = rows.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).cast("binary")))
-    placed = offsets(keyed, fine).alias("a").join(per.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target", "b.slope")
+    per = targets(rows.withColumn("size", F.col("size") * F.col("rows")), weights, share, most).withColumn("slope", cycle(slopes, F.col("nth")))
+    placed = offsets(rows, fine).alias("a").join(per.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target", "b.slope")
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("start", F.col("start") + F.col("nth") * F.col("size"))
     middles = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("start") + e * F.col("source_size") + F.col("size") / F.lit(2.0))
     placed = placed.withColumn("middles", F.when(F.col("size") > 0, F.filter(middles, lambda m: m <= F.col("target"))).otherwise(F.array().cast("array<double>")))
     return placed.select("doc_id", "text_key", "size", "source_size", "target", (F.col("size") * F.size("middles")).alias("taken"), F.transform("middles", lambda m: position(m, F.col("target"), F.col("slope"))).alias("positions"))
