@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, save
+from .common import SPACE, discard, fitting, save
 
 #: Equal words at the start of a run that a mask keeps, and what a mismatch costs in equal words.
 SEED_WORDS, MISMATCH = 7, 3
@@ -40,8 +40,8 @@ def seed_masks(weight: int = SEED_WORDS, cost: int = MISMATCH) -> tuple[str, ...
 MASKS = seed_masks()
 #: Items of fewer words than this prove nothing and are left out; those shorter than the masks are looked up whole.
 LEAST_WORDS = 5
-#: Rows up to which seeds and alignments are broadcast; beyond, they are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+#: Bytes up to which seeds and alignments are broadcast (see fitting); beyond, they are joined by a shuffle.
+MOST_BYTES, MOST_ROWS = 48_000_000, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -63,10 +63,6 @@ def needed(n: Column) -> Column:
     return F.greatest(F.least(F.lit(8), n), F.ceil(F.least(F.lit(16), n) * F.lit(0.75)))
 
 
-def fitting(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, text_key, item_id, item_words, matched, at: the best overlap of each document and item that overlap enough.
 
@@ -81,11 +77,11 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     seeds = save(windows(item, ["item_key"], masks).select("seed", "item_key", F.col("pos").alias("item_pos")).distinct(), "seeds")
 
     rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), words(docs[text_col]).alias("w"))
-    hits = windows(rows, ["doc_id", "text_key"], masks).join(fitting(seeds), "seed")
+    hits = windows(rows, ["doc_id", "text_key"], masks).join(fitting(seeds, MOST_BYTES, MOST_ROWS), "seed")
     hits = save(hits.select("doc_id", "text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("at")).distinct(), "hits")
 
     met = hits.join(fitting(item), "item_key").select("doc_id", "text_key", "item_id", "at", F.col("n").alias("item_words"), F.col("w").alias("item_w"))
-    d, h = rows.alias("d"), fitting(met).alias("h")
+    d, h = rows.alias("d"), fitting(met, MOST_BYTES, MOST_ROWS).alias("h")
     both = d.join(h, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")))
     equal = F.transform("item_w", lambda w, j: F.coalesce(F.get("w", F.col("at") + j) == w, F.lit(False)))
     none = F.struct(F.lit(0).alias("score"), F.lit(0).alias("run"), F.lit(0).alias("best"))

@@ -135,8 +135,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> bytes:
     """A packed machine, fitted on at most sample rows of labels that are not held out.
 
-    Labels other than 0 and 1, and null ids, take no part; an id with several labels has the smallest; an id with several
-    texts gives a row for each text. Only (id, label) of the sample and then its texts' features meet in one task.
+    Labels other than 0 and 1, and null ids, take no part; an id with several labels has the smallest; of an id with several
+    texts that with the smallest features counts, as bytes. Only (id, label) of the sample, and then a row of features for
+    each of its ids, meet in one task.
     """
     chosen = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     chosen = chosen.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(sample)
@@ -157,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         yield pa.RecordBatch.from_arrays([pa.array([fit(found, np.array([r[1] for r in rows], np.float64)).pack()], pa.binary())], ["machine"])
 
     found = rows.mapInArrow(extract, "id long, label int, slots binary, weights binary, stats binary")
+    found = found.groupBy("id", "label").agg(F.min(F.struct("slots", "weights", "stats")).alias("f")).select("id", "label", "f.*")
     return bytes(found.repartition(1).mapInArrow(fit_all, "machine binary").first()[0])
 
 
