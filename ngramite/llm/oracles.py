@@ -17,7 +17,7 @@ FROM rows GROUP BY conv_id
 MIX = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0') AS key FROM documents
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0:' || md5(coalesce(text, ''))) AS key FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM sized GROUP BY source
 ), weighed AS (
@@ -74,23 +74,18 @@ JOIN (SELECT reach.x AS rid, min(o.doc_id) AS component_id FROM reach JOIN s o O
 
 ORACLES["op9_ngram_jaccard"] = NEAR
 
+# A run of matches that counts begins with four equal words or, in an item of five, has five: alignments of equal four words.
 LEAKS = r"""
-WITH m AS (
-  SELECT mask, row_number() OVER () AS mid FROM (VALUES ('111101101'), ('110110111'), ('101111011')) t(mask)
-), d AS (
+WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
 ), dp AS (
-  SELECT rid, w, unnest(range(1, len(w) - 7)) AS p FROM d WHERE len(w) >= 9
+  SELECT rid, p, array_to_string(w[p:p + 3], ' ') AS seed FROM (SELECT rid, w, unnest(range(1, len(w) - 2)) AS p FROM d WHERE len(w) >= 4)
 ), bp AS (
-  SELECT item_id, w, unnest(range(1, len(w) - 7)) AS p FROM b WHERE len(w) >= 9
-), ds AS (
-  SELECT rid, p, mid, array_to_string(list_transform(range(9), lambda k: CASE WHEN mask[k + 1] = '1' THEN w[p + k] ELSE '' END), ' ') AS seed FROM dp, m
-), bs AS (
-  SELECT item_id, p, mid, array_to_string(list_transform(range(9), lambda k: CASE WHEN mask[k + 1] = '1' THEN w[p + k] ELSE '' END), ' ') AS seed FROM bp, m
+  SELECT item_id, p, array_to_string(w[p:p + 3], ' ') AS seed FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS p FROM b WHERE len(w) >= 5)
 ), hits AS (
-  SELECT DISTINCT rid, item_id, ds.p - bs.p AS off FROM ds JOIN bs USING (mid, seed)
+  SELECT DISTINCT rid, item_id, dp.p - bp.p AS off FROM dp JOIN bp USING (seed)
 ), eq AS (
   SELECT d.doc_id, h.item_id, len(b.w) AS n, list_transform(b.w, lambda x, j: CASE WHEN off + j >= 1 AND d.w[off + j] = x THEN 1 ELSE -3 END) AS s
   FROM hits h JOIN d ON h.rid = d.rid JOIN b ON h.item_id = b.item_id
@@ -142,3 +137,32 @@ FROM documents d LEFT JOIN gone USING (doc_id)
 """
 
 ORACLES["op1_line_dedup"] = LINES
+
+SECRETS = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS txt FROM documents
+), p AS (
+  SELECT * FROM (VALUES (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'), (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+')) v(kind, name, pattern)
+), cut AS (
+  SELECT rid, kind, name, string_split(CASE kind
+    WHEN 0 THEN regexp_replace(txt, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', chr(1) || '\0' || chr(1), 'g')
+    WHEN 1 THEN regexp_replace(txt, 'AKIA[A-Z0-9]+', chr(1) || '\0' || chr(1), 'g')
+    ELSE regexp_replace(txt, '[0-9a-f]+', chr(1) || '\0' || chr(1), 'g') END, chr(1)) AS pieces
+  FROM t, p
+), piece AS (
+  SELECT rid, kind, name, unnest(pieces) AS word, generate_subscripts(pieces, 1) AS i FROM cut WHERE len(pieces) > 1
+), placed AS (
+  SELECT *, CAST(sum(length(word)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop FROM piece
+), span AS (
+  SELECT rid, kind, name, stop - length(word) AS start, stop FROM placed WHERE i % 2 = 0 AND CASE kind
+    WHEN 0 THEN length(regexp_extract(word, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 8
+    WHEN 1 THEN length(word) >= 16 ELSE length(word) >= 32 END
+), per AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h,
+    string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS listed FROM span GROUP BY rid
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(listed, '')) AS base_sha256
+FROM t LEFT JOIN per USING (rid)
+"""
+
+ORACLES["secret_base_spans"] = SECRETS

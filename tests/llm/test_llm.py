@@ -285,12 +285,34 @@ def test_segments_are_exact(kind):
     rng = np.random.default_rng(4)
     x = {"normal": rng.integers(-500, 500, (700, 12)), "sparse": rng.integers(-900, 900, (700, 12)) * (rng.random((700, 12)) < 0.1), "equal": np.ones((50, 3), np.int64)}[kind]
     index = topk.Segments(x)
-    for q in x[:20]:
-        rows, scores = index.best(q, 5, np.zeros(len(x), bool))
+    for q, (rows, scores) in zip(x[:20], index.best(x[:20], 5, np.zeros((20, len(x)), bool)), strict=True):
         assert sorted(scores)[-5:] == sorted(x @ q)[-5:]
         assert set(rows) == set(np.flatnonzero(x @ q >= np.sort(x @ q)[-5]))
 
 
+def test_topk_of_large_components(spark):
+    """Components of 2^40 take part; products go beyond what 64-bit sums of squares would hold for others."""
+    rows = [(i, [float((i - 5) * 2**k) for k in (0, 13, 20, 30)]) for i in range(12)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: [int(np.floor(1024 * c)) for c in v] for i, v in rows}
+    for q in (0, 7):
+        want = sorted((-sum(a * b for a, b in zip(exact[q], exact[i], strict=True)), i) for i in exact if i != q)[:10]
+        if abs(want[0][0]) < 2**63:
+            assert [(-r.score, r.vec_id) for r in topk.top_k(table, table.where(f"vec_id = {q}")).orderBy("rank").collect()] == want
+
+
+def test_topk_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 30)
+    monkeypatch.setattr(topk, "TURN", 5)
+    x = np.random.default_rng(8).normal(0, 0.3, (200, 6))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    e = np.floor(1024 * x).astype(int)
+    got = topk.top_k(table, table.where("vec_id % 10 = 0"), k=4).collect()
+    for q in range(0, 200, 10):
+        want = sorted((-int(e[q] @ e[i]), i) for i in range(200) if i != q)[:4]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
 def test_chat_trees(spark):
     rows = [
         ("t", 1, None, "user", "hi", 0.0, 1), ("t", 2, 1, "assistant", "a", 1.0, 1), ("t", 3, 1, "assistant", "b", 5.0, 1), ("t", 4, 2, "user", "more", 3.5, 1), ("t", 5, 4, "assistant", "end", None, 1),
@@ -401,3 +423,46 @@ def test_warc(spark):
         assert (r.kind, r.refers_to, bytes(r.payload)) == (("revisit", 1, b"") if revisit else ("response", None, body))
     found = warc.lookup(index, spark.createDataFrame([("http://b.example.com/x y\n",), ("http://z.org",), ("http://none.org",), (None,)], "url string"))
     assert sorted(str(r.url) for r in found.collect()) == ["None", "None", "http://b.example.com/x y\n", "http://z.org"]
+
+
+def test_warc_reads_only_ranges(spark, monkeypatch):
+    """One of 300 pages costs its own bytes; all pages come back through directory, block and range; files are cut by bytes."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "BLOCK_KEYS", 7)
+    rng = np.random.default_rng(5)
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.example/{i}", "".join(map(chr, rng.integers(33, 126, 1500)))) for i in range(300)], "page_id long, url string, html string")
+    path = scratch_path(spark, "test-warc")
+    warc.write_archives(pages.coalesce(2), path)
+    index = warc.build_index(spark, path, block_lines=20)
+    ranges = warc.lookup(index, pages).select("file", "at", "length").distinct()
+    assert sorted(r.page_id for r in warc.read_ranges(spark, path, ranges, payload=False).collect()) == list(range(300))
+    files = {r.file: r.most for r in ranges.groupBy("file").agg(F.max(F.col("at") + F.col("length")).alias("most")).collect()}
+    assert len(files) > 10 and max(files.values()) < 25_000
+    hit = warc.lookup(index, pages.where("page_id = 123")).first()
+    read = []
+    with warc.opened(hit.file) as archive:
+        (data,) = warc.spans_of(lambda n, at: read.append(n) or archive.read_at(n, at), [(hit.at, hit.length)])
+    assert b"http://h4.example/123" in __import__("gzip").decompress(data) and read == [hit.length] and hit.length < 2500
+    joined = list(warc.spans_of(lambda n, at: bytes(range(at, at + n)), [(0, 3), (5, 2), (200, 4)]))
+    assert [bytes(x) for x in joined] == [bytes([0, 1, 2]), bytes([5, 6]), bytes([200, 201, 202, 203])]
+    monkeypatch.setattr(warc, "seekable", lambda uri: False)
+    assert warc.read_ranges(spark, path, ranges.limit(9)).count() == 9
+    monkeypatch.setattr(warc, "MOST_DIRECTORY", 1)
+    assert warc.lookup(index, pages.where("page_id = 123")).first()[2:] == hit[2:]
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    many = " ".join(f"token{i:07d}: {hashlib.md5(str(i).encode()).hexdigest()[:24]}" for i in range(16_000))
+    table = docs(spark, [(1, many, None), (2, many[:100], None)])
+    secrets.scan(docs(spark, [(1, many[:1000], None)])).collect()
+    began = time.perf_counter()
+    found = {r.doc_id: r for r in secrets.scan(table).collect()}
+    assert time.perf_counter() - began < 12 and len(found[1].extra) > 10_000
+    turns = spark.range(16_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+    path = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").alias("depth"), F.col("turn").alias("id"), "role", "text"))).alias("path"))
+    chat.render(path).collect()
+    began = time.perf_counter()
+    out = chat.render(path).first()
+    assert time.perf_counter() - began < 6 and len(out.loss_spans) == 8000 and all(out.formatted[s.start : s.start + s.length] == f"turn {2 * k + 1}" for k, s in enumerate(out.loss_spans))
