@@ -49,14 +49,14 @@ def matches(sets: DataFrame, share: int) -> DataFrame:
     """key of each of sets(key, place, n, tokens) that is similar enough to one with an earlier place."""
     posts = save(prefix_posts(sets, share, "place"), "posts")
     first = posts.groupBy("token").agg(F.min(F.struct("place", "key", "n", "left")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    met = posts.join(first, "token").where(F.col("key") != F.col("first.key"))
+    first = save(first, "firsts")  # of the tokens that stand in several sets' prefixes: few, as equal sets are one
+    met = posts.join(fitting(first), "token").where(F.col("key") != F.col("first.key"))
     fits = alike(F.col("n"), F.col("first.n"), share) & reachable(F.col("left"), F.col("first.left"), F.col("n"), F.col("first.n"), share)
     done = save(verify(met.where(fits).select(F.col("key").alias("a"), F.col("first.key").alias("b")), sets, share).select(F.col("a").alias("key")).distinct(), "matches")
     asked = save(met.where("rows > 2").join(fitting(done), "key", "left_anti").select("token", "key", "n", "left"), "asked")
     found = done.union(meet_in_cells(asked, posts, sets, share).select("key")).distinct()
     found = save(found, "matches")
-    discard(posts)
-    discard(asked)
+    discard(posts, first, asked)
     return found
 
 
@@ -74,11 +74,11 @@ def meet_in_cells(asked: DataFrame, posts: DataFrame, sets: DataFrame, share: in
     seat = F.pmod(F.xxhash64("token", "turn", "part"), F.lit(max(1, rows // (CELL * 8)))).alias("seat")
     shape = ("seat", "token", "turn", "part", "key", "left", "n", "place", "tokens")
 
-    def full(df: DataFrame) -> DataFrame:
-        return df.select(seat, "token", "turn", "part", "key", "left").join(sets.select("key", "n", "place", "tokens"), "key").select(*shape)
+    def full(df: DataFrame, name: str) -> DataFrame:
+        return fitting(save(df.select(seat, "token", "turn", "part", "key", "left"), name)).join(sets.select("key", "n", "place", "tokens"), "key").select(*shape)
 
-    queries = full(asked.join(held, "token").withColumn("turn", part("turns")).withColumn("part", every("parts")))
-    members = full(posts.join(held, "token").withColumn("part", part("parts")).withColumn("turn", every("turns")))
+    queries = full(asked.join(held, "token").withColumn("turn", part("turns")).withColumn("part", every("parts")), "queries")
+    members = full(posts.join(held, "token").withColumn("part", part("parts")).withColumn("turn", every("turns")), "members")
     members = members.toDF(*(f"m_{c}" for c in shape))
     return queries.groupBy("seat").cogroup(members.groupBy("m_seat")).applyInArrow(meet(share), "key binary")
 
