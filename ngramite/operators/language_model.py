@@ -10,10 +10,10 @@ from ..functions.text import WILD, key
 
 
 def lookup_keys(tri: DataFrame) -> DataFrame:
-    """w1, w2, w3, slot, key: the seven keys of each trigram."""
+    """tri's columns, slot, key: the seven keys of each trigram."""
     keys = (key("w1", "w2", "w3"), key("w1", "w2"), key("w1", "w2", WILD), key(WILD, "w2", "w3"), key(WILD, "w2", WILD), key("w2", WILD), key(WILD, "w3"))
     pairs = F.array(*(F.struct(F.lit(s).alias("slot"), k.alias("key")) for s, k in zip(kn.SLOTS, keys, strict=True)))
-    return tri.select("w1", "w2", "w3", F.explode(pairs).alias("k")).select("w1", "w2", "w3", "k.slot", "k.key")
+    return tri.select(*tri.columns, F.explode(pairs).alias("k")).select(*tri.columns, "k.slot", "k.key")
 
 
 def gather(tri: DataFrame, model: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def gather(tri: DataFrame, model: DataFrame) -> DataFrame:
     types = tri.groupBy("w1", "w2", "w3").agg(F.count("*").alias("n"))
     found = lookup_keys(types).join(model.withColumnRenamed("ngram", "key"), "key", "left")
     counts = [F.coalesce(F.max(F.when(F.col("slot") == s, F.col("value"))), F.lit(0).cast("long")).alias(s) for s in kn.SLOTS]
-    return types.join(found.groupBy("w1", "w2", "w3").agg(*counts), ["w1", "w2", "w3"])
+    return found.groupBy("w1", "w2", "w3").agg(F.max("n").alias("n"), *counts)
 
 
 def score(tri: DataFrame, model: DataFrame, bigrams: int) -> DataFrame:

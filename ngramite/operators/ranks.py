@@ -29,8 +29,11 @@ def number(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
 
 
 def running_sum(df: DataFrame, at: str, value: Column, name: str) -> DataFrame:
-    """Adds name: the sum of value over all rows whose dense number in column at is smaller."""
-    rows = df.withColumn("__chunk", F.floor(F.col(at) / CHUNK)).withColumn("__v", value)
+    """Adds name: the sum of value over all rows whose dense number in column at is smaller.
+
+    The rows are written, as they are read twice: for the chunks' totals and for the sums inside chunks.
+    """
+    rows = save(df.withColumn("__chunk", F.floor(F.col(at) / CHUNK)).withColumn("__v", value), "summed")
     first = rows.groupBy("__chunk").agg(F.sum("__v").alias("__s")).withColumn("__first", F.coalesce(F.sum("__s").over(_before("__chunk")), F.lit(0))).drop("__s")
     inside = F.coalesce(F.sum("__v").over(Window.partitionBy("__chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("__inside", inside).join(fitting(first), "__chunk").withColumn(name, F.col("__first") + F.col("__inside")).drop("__chunk", "__v", "__inside", "__first")
@@ -53,5 +56,5 @@ def distinct_values(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def rank_dense(df: DataFrame, value: str = "value") -> DataFrame:
-    """Adds rank, the place of value among the distinct values."""
+    """Adds rank, the place of value among the distinct values. df is read several times: save what takes long."""
     return df.join(fitting(distinct_values(df, value)), value)

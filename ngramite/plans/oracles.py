@@ -25,11 +25,11 @@ types AS (
     SELECT CASE WHEN i > 2 THEN w[i - 2] ELSE '<NA>' END AS w1, CASE WHEN i > 1 THEN w[i - 1] ELSE '<NA>' END AS w2, w[i] AS w3
     FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM q)) GROUP BY ALL
 ), g AS (
-  SELECT t.*, coalesce(a.value, 0) AS c123, coalesce(b.value, 0) AS c12, coalesce(c.value, 0) AS c12x, coalesce(d.value, 0) AS x23,
-    coalesce(e.value, 0) AS x2x, coalesce(f.value, 0) AS c2x, coalesce(h.value, 0) AS x3
-  FROM types t LEFT JOIN model a ON a.ngram = w1 || ' ' || w2 || ' ' || w3 LEFT JOIN model b ON b.ngram = w1 || ' ' || w2
-  LEFT JOIN model c ON c.ngram = w1 || ' ' || w2 || ' <*>' LEFT JOIN model d ON d.ngram = '<*> ' || w2 || ' ' || w3
-  LEFT JOIN model e ON e.ngram = '<*> ' || w2 || ' <*>' LEFT JOIN model f ON f.ngram = w2 || ' <*>' LEFT JOIN model h ON h.ngram = '<*> ' || w3
+  SELECT w1, w2, w3, any_value(n) AS n, {', '.join(f"coalesce(max(CASE WHEN slot = {i} THEN value END), 0) AS {c}" for i, c in enumerate(('c123', 'c12', 'c12x', 'x23', 'x2x', 'c2x', 'x3')))}
+  FROM (
+    SELECT *, [w1 || ' ' || w2 || ' ' || w3, w1 || ' ' || w2, w1 || ' ' || w2 || ' <*>', '<*> ' || w2 || ' ' || w3, '<*> ' || w2 || ' <*>', w2 || ' <*>', '<*> ' || w3][slot + 1] AS key
+    FROM (SELECT *, unnest(range(7)) AS slot FROM types)
+  ) LEFT JOIN model ON ngram = key GROUP BY w1, w2, w3
 ), s AS (SELECT *, 0.8::DOUBLE AS d, (SELECT count(*) FROM bi) AS b FROM g),
 u AS (SELECT *, CASE WHEN x3 <> 0 THEN (x3 - d) / b + d / b ELSE d / b END AS uni FROM s),
 v AS (SELECT *, CASE WHEN x23 <> 0 THEN (x23 - d) / nullif(x2x, 0) + c2x * d / nullif(x2x, 0) * uni
@@ -76,6 +76,7 @@ zeck(rank, rest, i, code) AS (
   UNION ALL SELECT rank, CASE WHEN rest >= a THEN rest - a ELSE rest END, i - 1,
     CASE WHEN rest >= a THEN '1' || code WHEN code <> '' THEN '0' || code ELSE '' END FROM zeck JOIN fib ON n = i
 ), fibs AS (SELECT rank, code || '1' AS code FROM zeck WHERE i = 0)"""
+QUANTITIES = "WITH p AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) - 1 AS pos, CAST(l_quantity AS BIGINT) AS value FROM lineitem)"
 STRANGE = rf"sw AS (SELECT {WORDS} AS w FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)), strange AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS key FROM (SELECT w, unnest(range(1, len(w))) AS i FROM sw))"
 SLOTS = f"{RANKED}, {STRANGE}, {hash_cte('hs', 'r', 'ngram')}, {hash_cte('hk', 'strange', 'key')}, {hash_cte('hz', '(SELECT key FROM strange)', 'key', 1)}, placed AS (SELECT hk.key, hk.hash, r.idx AS own, coalesce(r.idx, hz.hash % (SELECT count(*) FROM r)) AS idx FROM hk JOIN hz USING (key) LEFT JOIN r ON hk.key = r.ngram)"
 
@@ -101,7 +102,8 @@ ORACLES = {
     "assign_index": f"WITH {RANKED} SELECT idx, ngram FROM r",
     "perfect_hash_slots": f"WITH {TYPES} SELECT count(*) AS n_keys, count(*) AS n_slots, 0::BIGINT AS low, count(*) - 1 AS high FROM bi",
     "rank_dense": f"WITH {RANKED} SELECT ngram, value, rank FROM r",
-    "rank_runs": "WITH l AS (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY ALL), p AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, value FROM l), c AS (SELECT pos, value, CASE WHEN lag(value) OVER (ORDER BY pos) <> value THEN 1 ELSE 0 END AS new FROM p) SELECT pos, value, sum(new) OVER (ORDER BY pos)::BIGINT AS rank FROM c",
+    "rank_runs": f"{QUANTITIES}, c AS (SELECT pos, value, CASE WHEN lag(value) OVER (ORDER BY pos) <> value THEN 1 ELSE 0 END AS new FROM p) SELECT pos, value, sum(new) OVER (ORDER BY pos)::BIGINT AS rank FROM c",
+    "scan_numbers": f"{QUANTITIES} SELECT pos, value FROM p",
     "rank_tiered": f"WITH {RANKED} SELECT ngram, CASE WHEN rank + 2 >= 512 THEN 0 WHEN rank + 2 >= 256 THEN 1 ELSE rank + 2 END::BIGINT AS tiered FROM r",
     "distinct_values": f"WITH {RANKED} SELECT rank, value FROM dv",
     "rank_roundtrip": f"WITH {BIGRAMS} SELECT ngram, value FROM m",
@@ -117,6 +119,7 @@ ORACLES = {
     "bit_offsets": f"WITH {OFFSETS} SELECT idx, CAST(code_len AS INT) AS code_len, bit_offset FROM offs",
     "bit_select": f"WITH {BITS} SELECT row_number() OVER (ORDER BY pos) - 1 AS i, pos FROM bits WHERE bit = 1",
     "bit_select_zero": f"WITH {BITS} SELECT row_number() OVER (ORDER BY pos) - 1 AS i, pos FROM bits WHERE bit = 0",
+    "pair_select": f"WITH RECURSIVE {RANKED}, {FIB} SELECT idx AS i, coalesce(sum(length(code)) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM r JOIN fibs USING (rank)",
     "bit_rank": f"WITH {BITS} SELECT pos, coalesce(sum(bit) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank FROM bits",
     "compressed_rank": "WITH p AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) * 10 AS idx FROM lineitem) SELECT idx, (SELECT count(*) FROM lineitem WHERE floor(l_extendedprice / 100) < idx) AS smaller FROM p",
     "storage_report": f"""WITH RECURSIVE {CODES}, {FIB}, t AS (
@@ -128,6 +131,7 @@ ORACLES = {
       unnest([ones, elias, fib, select_half, elias_fano, rank9, rank9sel, fixed_width, elias + elias_fano, fixed_width - elias - elias_fano])::BIGINT AS bits FROM c""",
     "bucket_sizes": f"WITH {BIGRAMS}, {hash_cte('hm', 'm', 'ngram')}, per AS (SELECT hash % greatest(1, (SELECT count(*) // 4 FROM m)) AS bucket, count(*) AS size FROM hm GROUP BY 1) SELECT size, count(*) AS buckets FROM per GROUP BY size",
     "lookup_exact": f"WITH {FOUND} SELECT key, value FROM found",
+    "lookup_file": f"WITH {FOUND} SELECT key, value FROM found",
     "lookup_hits": f"WITH {FOUND} SELECT key FROM found WHERE value > 0",
     "lookup_missing": f"WITH {FOUND} SELECT key FROM found WHERE value = 0",
     "lookup_formatted": f"WITH {FOUND} SELECT lpad(CAST(value AS VARCHAR), 11, ' ') || ' ' || key AS line FROM found",
@@ -139,4 +143,8 @@ ORACLES = {
     "scan_kv": f"WITH {BIGRAMS} SELECT ngram, value FROM m",
     "save_load_roundtrip": f"WITH {RANKED} SELECT idx, ngram, value FROM r",
     "stream_lookup": f"WITH {VERIFIED} SELECT key, expected, value, status FROM v",
+    "stream_perplexity": f"""{KN}, o AS (
+      SELECT conv_id, CASE WHEN i > 2 THEN w[i - 2] ELSE '<NA>' END AS w1, CASE WHEN i > 1 THEN w[i - 1] ELSE '<NA>' END AS w2, w[i] AS w3
+      FROM (SELECT conv_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, {WORDS} AS w FROM conversations)))
+    SELECT conv_id AS doc_id, count(*) AS tokens, round(pow(2, -sum(log2(prob)) / count(*)), 6) AS perplexity FROM o JOIN scored USING (w1, w2, w3) GROUP BY conv_id""",
 }

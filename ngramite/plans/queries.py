@@ -29,6 +29,11 @@ def _bigrams(spark, sf_dir) -> DataFrame:
     return types.select(key("w1", "w2").alias("ngram"), F.col("c").alias("value"))
 
 
+def _saved(spark, sf_dir) -> DataFrame:
+    """The same as a table, for what reads it more than once: counted once, and no text is read again."""
+    return save(_bigrams(spark, sf_dir), "bigrams")
+
+
 def _asked(spark, sf_dir) -> DataFrame:
     """key, expected: the bigrams of benchmark and how often they occur there."""
     types = counts.bigram_types(counts.window_types(_table(spark, sf_dir, "benchmark")))
@@ -37,7 +42,7 @@ def _asked(spark, sf_dir) -> DataFrame:
 
 def _ranked(spark, sf_dir) -> DataFrame:
     """idx, ngram, value, rank."""
-    return ranks.rank_dense(ranks.number(_bigrams(spark, sf_dir), ["ngram"]))
+    return ranks.rank_dense(save(ranks.number(_saved(spark, sf_dir), ["ngram"]), "numbered"))
 
 
 def _codes(spark, sf_dir) -> DataFrame:
@@ -114,7 +119,7 @@ def fingerprint(spark, sf_dir):
 
 
 def assign_index(spark, sf_dir):
-    return ranks.number(_bigrams(spark, sf_dir), ["ngram"]).select("idx", "ngram")
+    return ranks.number(_saved(spark, sf_dir), ["ngram"]).select("idx", "ngram")
 
 
 def perfect_hash_slots(spark, sf_dir):
@@ -126,19 +131,29 @@ def perfect_hash_slots(spark, sf_dir):
 
 
 def rank_dense(spark, sf_dir):
-    return ranks.rank_dense(_bigrams(spark, sf_dir)).select("ngram", "value", "rank")
+    return ranks.rank_dense(_saved(spark, sf_dir)).select("ngram", "value", "rank")
 
 
 def rank_runs(spark, sf_dir):
     return ranks.rank_runs(_quantities(spark, sf_dir)).select("pos", "value", "rank")
 
 
+def scan_numbers(spark, sf_dir):
+    """A numeric column written as text, a number a line, and read back in its order."""
+    path = scratch_path(spark, "numbers")
+    rows = _quantities(spark, sf_dir)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartitionByRange(parts, "pos").sortWithinPartitions("pos").select(F.col("value").cast("string")).write.text(path)
+    found = kv.read_numbers(spark, path).withColumnRenamed("pos", "nth")
+    return ranks.number(found, ["file", "line", "nth"], "pos").select("pos", "value")
+
+
 def rank_tiered(spark, sf_dir):
-    return ranks.rank_dense(_bigrams(spark, sf_dir)).select("ngram", codecs.tiered(F.col("rank")).cast("long").alias("tiered"))
+    return ranks.rank_dense(_saved(spark, sf_dir)).select("ngram", codecs.tiered(F.col("rank")).cast("long").alias("tiered"))
 
 
 def distinct_values(spark, sf_dir):
-    return ranks.distinct_values(_bigrams(spark, sf_dir))
+    return ranks.distinct_values(_saved(spark, sf_dir))
 
 
 def rank_roundtrip(spark, sf_dir):
@@ -148,7 +163,7 @@ def rank_roundtrip(spark, sf_dir):
 
 
 def elias_encode(spark, sf_dir):
-    return ranks.distinct_values(_bigrams(spark, sf_dir)).select("rank", codecs.elias_encode(F.col("rank")).alias("code"), codecs.elias_length(F.col("rank")).alias("code_len"))
+    return ranks.distinct_values(_saved(spark, sf_dir)).select("rank", codecs.elias_encode(F.col("rank")).alias("code"), codecs.elias_length(F.col("rank")).alias("code_len"))
 
 
 def elias_roundtrip(spark, sf_dir):
@@ -164,7 +179,7 @@ def elias_size(spark, sf_dir):
 
 
 def fib_encode(spark, sf_dir):
-    return ranks.distinct_values(_bigrams(spark, sf_dir)).select("rank", codecs.fibonacci_encode(F.col("rank")).alias("code"))
+    return ranks.distinct_values(_saved(spark, sf_dir)).select("rank", codecs.fibonacci_encode(F.col("rank")).alias("code"))
 
 
 def fib_roundtrip(spark, sf_dir):
@@ -179,12 +194,12 @@ def fib_size(spark, sf_dir):
 
 def fixed_width_pack(spark, sf_dir):
     cell = codecs.fixed_width(F.col("rank"))
-    return ranks.distinct_values(_bigrams(spark, sf_dir)).select("rank", cell.alias("cell"), codecs.fixed_width_decode(cell).alias("decoded"))
+    return ranks.distinct_values(_saved(spark, sf_dir)).select("rank", cell.alias("cell"), codecs.fixed_width_decode(cell).alias("decoded"))
 
 
 def cseq_encode(spark, sf_dir):
     code = codecs.compressed_seq_encode(F.col("value"))
-    return ranks.distinct_values(_bigrams(spark, sf_dir)).select("value", code.alias("code"), codecs.compressed_seq_decode(code).alias("decoded"))
+    return ranks.distinct_values(_saved(spark, sf_dir)).select("value", code.alias("code"), codecs.compressed_seq_decode(code).alias("decoded"))
 
 
 def bit_offsets(spark, sf_dir):
@@ -203,6 +218,13 @@ def bit_select_zero(spark, sf_dir):
     return bits.bit_select(_bits(spark, sf_dir), 0)
 
 
+def pair_select(spark, sf_dir):
+    """Where each key's Fibonacci code starts: one behind the pair of ones that ends the code before."""
+    per = _ranked(spark, sf_dir)
+    codes = save(per.groupBy("rank").agg(F.count("*").alias("n")).select("rank", F.length(codecs.fibonacci_encode(F.col("rank"))).alias("code_len")), "codes")
+    return bits.pair_select(per.select("idx", "rank").join(ranks.fitting(codes), "rank").select("idx", "code_len"))
+
+
 def bit_rank(spark, sf_dir):
     return bits.bit_rank(_bits(spark, sf_dir))
 
@@ -221,7 +243,7 @@ def storage_report(spark, sf_dir):
 
 def bucket_sizes(spark, sf_dir):
     """Sizes of the buckets that a quarter as many hash values as keys make, largest first."""
-    keys = save(_bigrams(spark, sf_dir), "keys")
+    keys = _saved(spark, sf_dir)
     n = max(1, keys.count() // 4)
     per = keys.groupBy(F.pmod(mm2(F.col("ngram")), F.lit(n)).alias("bucket")).agg(F.count("*").alias("size"))
     return per.groupBy("size").agg(F.count("*").alias("buckets")).orderBy(F.desc("size"))
@@ -231,6 +253,14 @@ def lookup_exact(spark, sf_dir):
     return lookup.exact(_asked(spark, sf_dir), _bigrams(spark, sf_dir)).select("key", "value")
 
 
+def lookup_file(spark, sf_dir):
+    """The same keys as lines of a text file, without values."""
+    path = scratch_path(spark, "lines")
+    _asked(spark, sf_dir).select("key").write.option("compression", "gzip").text(path)
+    asked = kv.read_kv(spark, path).select(F.col("ngram").alias("key"))
+    return lookup.exact(asked, _bigrams(spark, sf_dir)).select("key", "value")
+
+
 def lookup_hits(spark, sf_dir):
     return lookup.hits(_asked(spark, sf_dir), _bigrams(spark, sf_dir)).select("key")
 
@@ -244,7 +274,7 @@ def lookup_formatted(spark, sf_dir):
 
 
 def _store(spark, sf_dir, f=12):
-    built = store.build(save(_bigrams(spark, sf_dir), "model"), f)
+    built = store.build(_saved(spark, sf_dir), f)
     return store.Store(save(built.cells, "cells"), save(built.values, "values"), f, built.rank_bits)
 
 
@@ -261,7 +291,7 @@ def lookup_fingerprint(spark, sf_dir):
 def fp_false_positive_rate(spark, sf_dir):
     """Unseen keys that fingerprints of 4, 8 and 12 bits accept."""
     asked = save(_strange(spark, sf_dir), "asked")
-    model = save(_bigrams(spark, sf_dir), "model")
+    model = _saved(spark, sf_dir)
     out = None
     for f in (4, 8, 12):
         found = store.build(model, f).lookup(asked).where("not stored")
@@ -280,7 +310,7 @@ def verify_summary(spark, sf_dir):
 
 def verify_self(spark, sf_dir):
     """A model held against itself."""
-    model = save(_bigrams(spark, sf_dir), "model")
+    model = _saved(spark, sf_dir)
     return lookup.verify_summary(lookup.verify(model.select(F.col("ngram").alias("key"), F.col("value").alias("expected")), model))
 
 
@@ -294,7 +324,7 @@ def scan_kv(spark, sf_dir):
 def save_load_roundtrip(spark, sf_dir):
     """Exact values out of a store that was saved and loaded."""
     path = scratch_path(spark, "store")
-    store.build(save(_bigrams(spark, sf_dir), "model")).save(path)
+    store.build(_saved(spark, sf_dir)).save(path)
     loaded = store.load(spark, path)
     return loaded.cells.join(ranks.fitting(loaded.values), "rank").select("idx", "ngram", "value")
 
@@ -303,9 +333,20 @@ def stream_lookup(spark, sf_dir):
     """Benchmark's bigrams and counts as a stream of text lines, verified against the model."""
     path = scratch_path(spark, "asked")
     kv.write_kv(_asked(spark, sf_dir).select(F.col("key").alias("ngram"), F.col("expected").alias("value")), path)
-    model = save(_bigrams(spark, sf_dir), "model")
+    model = _saved(spark, sf_dir)
     return streaming.run_available(streaming.lookup(streaming.read_lines(spark, path), model), "answers")
 
 
+def stream_perplexity(spark, sf_dir):
+    """Each conversation's perplexity as a stream of scored words leaves it."""
+    said = tokens.trigrams(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    words = said.join(_scored(spark, sf_dir).select("w1", "w2", "w3", "prob"), ["w1", "w2", "w3"]).select(F.col("conv_id").alias("doc_id"), "prob")
+    path = scratch_path(spark, "words")
+    words.write.parquet(path)
+    stream = spark.readStream.schema("doc_id long, prob double").parquet(path)
+    done = streaming.run_updates(streaming.running_perplexity(stream), "perplexities", "doc_id", "tokens")
+    return done.withColumn("perplexity", F.round("perplexity", 6))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n != "queries"}

@@ -31,6 +31,9 @@ def write_kv(model: DataFrame, path: str, compression: str | None = None) -> Non
 
 
 def read_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """pos, value: white-space-separated whole numbers of one file or more, in order of file and line."""
+    """file, line, pos, value: the white-space-separated whole numbers of one file or more.
+
+    They are in order of (file, line, pos); pos is a number's place in its line. What is no whole number gives null.
+    """
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.split("value", r"[\x20\x09-\x0D]+").alias("v"))
-    return lines.select("file", "line", F.posexplode("v").alias("pos", "v")).where("v <> ''").select("file", "line", "pos", F.col("v").cast("bigint").alias("value"))
+    return lines.select("file", "line", F.posexplode("v").alias("pos", "v")).where("v <> ''").select("file", "line", "pos", F.col("v").try_cast("bigint").alias("value"))

@@ -48,3 +48,18 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, f"{name}-log")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def run_updates(stream: DataFrame, name: str, key: str, order: str) -> DataFrame:
+    """Runs a stream of updates over what there is, and gives each key's last one, that with the largest order.
+
+    Every micro-batch has a folder of its own, which a repeated batch overwrites.
+    """
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, name)
+    write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", scratch_path(spark, f"{name}-log")).outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+    others = [c for c in stream.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("last"))
+    return last.select(key, "last.*").select(*stream.columns)

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from ngramite.functions import codecs
 from ngramite.operators import bits, counts, language_model, lookup, perfect_hash, ranks, store, tokens
 from ngramite.plans import queries as plans
 from ngramite.sources import kv
@@ -151,6 +152,32 @@ def test_key_value_text(spark, compression):
     assert kv.read_kv(spark, path).exceptAll(model(spark)).count() == 0
 
 
+def test_numbers(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("3 1\t4\n\n 1\n5 x 9\n")
+    (tmp_path / "b.txt").write_text("2\n6\n")
+    rows = kv.read_numbers(spark, str(tmp_path)).orderBy("file", "line", "pos").collect()
+    assert [r.value for r in rows] == [3, 1, 4, 1, 5, None, 9, 2, 6]
+
+
+def test_numbers_written_and_read_keep_their_order(spark, tmp_path):
+    rows = [(i // 3, i % 3, i, 1, float((i * 7) % 50)) for i in range(200)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = plans.scan_numbers(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [(i, (i * 7) % 50) for i in range(200)]
+
+
+def test_pair_select(spark):
+    """Starts of self-delimiting codes equal a scan of the bits for pairs of ones."""
+    ranks_ = [0, 5, 1, 1, 7, 300, 2]
+    codes = spark.createDataFrame(list(enumerate(ranks_)), "idx long, rank long").withColumn("code", codecs.fibonacci_encode(F.col("rank")))
+    text = "".join(r.code for r in codes.orderBy("idx").collect())
+    want, at = [0], 0
+    while (at := text.find("11", at)) >= 0:
+        want.append(at := at + 2)
+    got = bits.pair_select(codes.withColumn("code_len", F.length("code"))).orderBy("i").collect()
+    assert [r.pos for r in got] == want[:-1]
+
+
 def test_lines(spark):
     lines = spark.createDataFrame([("a b\t12x",), ("a\tb\t3",), ("plain",), ("k\tno",), ("k\t 7",)], "value string")
     assert [(r.ngram, r.value) for r in kv.parse_lines(lines).collect()] == [("a b", 12), ("a", 0), ("plain", 0), ("k", 0), ("k", 7)]
