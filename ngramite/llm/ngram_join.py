@@ -35,8 +35,12 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def crossing(posts: DataFrame, turn: int = 0) -> DataFrame:
-    """token and a leader: the tokens of posts that more than one component has. Another turn, other leaders."""
-    place = F.xxhash64(F.lit(turn), "key") if turn else F.lit(0).cast("long")
+    """token and a leader: the tokens of posts that more than one component has.
+
+    In the first turn a token's leader has the fewest tokens that no other node has: that which others are copies of, and
+    not one of its altered copies, which may not be similar enough to each other. Another turn, other leaders.
+    """
+    place = F.xxhash64(F.lit(turn), "key") if turn else F.col("alone").cast("long")
     per = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(place.alias("place"), "key", "n", "comp")).alias("first"))
     return per.where("low <> high").select("token", F.col("first.key").alias("leader"), F.col("first.n").alias("leader_n"), F.col("first.comp").alias("leader_comp"))
 
@@ -49,7 +53,7 @@ def link_nodes(nodes: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     links = verify(stars.select(F.col("key").alias("a"), F.col("first.key").alias("b")), nodes, share)
     labels = components(links)
 
-    posts = save(prefix_posts(nodes, share), "posts")
+    posts = save(prefix_posts(nodes.withColumn("alone", F.col("n") - F.size("tokens")), share, "alone"), "posts")
     for turn in range(LEADER_TURNS):
         held = labelled(posts, labels)
         pairs = held.join(crossing(held, turn), "token").where((F.col("comp") != F.col("leader_comp")) & alike(F.col("n"), F.col("leader_n"), share))
