@@ -34,22 +34,36 @@ def removed_lines(docs: DataFrame, n: int = 5, share: int = 75, id_col: str = "d
     """
     found = token_units(docs, n, share, id_col, text_col, by_line, every=False)
     rows = found.where(~F.col("copy")).select("key", "n", "tokens", F.struct(*PLACE).alias("place"))
-    sets = save(rows.groupBy("key").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("rows")), "sets")
-    repeated = fitting(save(sets.where("rows > 1").select("key", F.col("place").alias("first")), "repeated"))
-    later = rows.join(repeated, "key").where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*")
+    repeated = rows.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    later = rows.join(fitting(save(repeated, "repeated")), "key").where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*")
     later = save(found.where("copy").select(*PLACE).union(later), "later")
+    posts, sets = contested(rows, share)
     discard(found)
-    matched = save(sets.join(fitting(matches(sets, share)), "key", "left_semi").select("place.*"), "matched")
+    matched = save(sets.join(fitting(matches(posts, sets, share)), "key", "left_semi").select("place.*"), "matched")
     discard(sets)
-    gone = later.union(matched)
-    return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("removed"))
+    return later.union(matched).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("removed"))
 
 
-def matches(sets: DataFrame, share: int) -> DataFrame:
+def contested(rows: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """Posts (token, key, n, left, place) of the tokens that stand in the prefixes of several sets, and these sets.
+
+    rows(key, n, tokens, place) may hold a set many times. Most tokens' lists hold one set and its copies: they are left
+    out before anything else moves, and a set's tokens move only if one of its lists is contested.
+    """
+    posts = save(prefix_posts(rows, share, "place"), "posts")
+    number = F.xxhash64("key")
+    several = save(posts.groupBy("token").agg(F.min(number).alias("low"), F.max(number).alias("high")).where("low <> high").select("token"), "contested")
+    own = posts.join(fitting(several), "token", "left_semi").groupBy("token", "key", "n", "left").agg(F.min("place").alias("place"))
+    own = save(own, "own-posts")
+    discard(posts, several)
+    keys = fitting(save(own.select("key").distinct(), "keys"))
+    sets = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    return own, save(sets, "sets")
+
+
+def matches(posts: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """key of each of sets(key, place, n, tokens) that is similar enough to one with an earlier place."""
-    posts = save(prefix_posts(sets, share, "place"), "posts")
-    first = posts.groupBy("token").agg(F.min(F.struct("place", "key", "n", "left")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    first = save(first, "firsts")  # of the tokens that stand in several sets' prefixes: few, as equal sets are one
+    first = save(posts.groupBy("token").agg(F.min(F.struct("place", "key", "n", "left")).alias("first"), F.count("*").alias("rows")), "firsts")
     met = posts.join(fitting(first), "token").where(F.col("key") != F.col("first.key"))
     fits = alike(F.col("n"), F.col("first.n"), share) & reachable(F.col("left"), F.col("first.left"), F.col("n"), F.col("first.n"), share)
     done = save(verify(met.where(fits).select(F.col("key").alias("a"), F.col("first.key").alias("b")), sets, share).select(F.col("a").alias("key")).distinct(), "matches")
