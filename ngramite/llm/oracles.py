@@ -132,7 +132,7 @@ WITH l AS (
   SELECT s.doc_id, count(DISTINCT line) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS listed
   FROM s WHERE rid IN (SELECT x FROM links) GROUP BY s.doc_id
 )
-SELECT d.doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines, CAST(coalesce(gone.n, 0) AS INT) AS n_removed, coalesce(listed, '') AS removed_lines
+SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS INT) AS n_lines, CAST(coalesce(gone.n, 0) AS INT) AS n_removed, coalesce(listed, '') AS removed_lines
 FROM documents d LEFT JOIN gone USING (doc_id)
 """
 
