@@ -17,19 +17,34 @@ def _fold(x: Column, bits: int) -> Column:
     return x.bitwiseXOR(F.shiftright(x, bits))
 
 
+def _bound(x: Column, then) -> Column:
+    """then(x), where then may use x often: an expression named twice would be computed twice."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
+def _little_endian(x: Column) -> Column:
+    """The number that reversed hex digits stand for: bytes are in place, their halves are swapped back."""
+    half = F.lit(0x0F0F0F0F)
+    return F.shiftleft(x.bitwiseAND(half), 4).bitwiseOR(F.shiftright(x, 4).bitwiseAND(half))
+
+
+def _hashed(digits: Column, seed: int) -> Column:
+    """The hash of the bytes whose hex digits, in reversed order, are digits: a block of 4 bytes is 8 digits."""
+    size = F.octet_length(digits)
+    whole, rest, none = F.floor(size / 8).cast("int"), size % 8, F.array().cast("array<bigint>")
+    number = lambda at, n: F.conv(F.substr(digits, at, n), 16, 10).cast("long")
+    blocks = F.when(whole > 0, F.transform(F.sequence(F.lit(1), whole), lambda i: number(size - i * 8 + 1, F.lit(8)))).otherwise(none)
+    blocks = F.transform(blocks, lambda x: _times(_little_endian(x)))
+    start = F.lit(seed).cast("long").bitwiseXOR((size / 2).cast("long"))
+    h = F.aggregate(blocks, start, lambda acc, k: _times(acc).bitwiseXOR(_times(_fold(k, 24))))
+    tail = F.when(rest > 0, F.array(number(F.lit(1), rest))).otherwise(none)
+    h = F.aggregate(tail, h, lambda acc, x: _times(acc.bitwiseXOR(_little_endian(x))))
+    return _bound(_bound(h, lambda x: _times(_fold(x, 13))), lambda x: _fold(x, 15))
+
+
 def murmur2(key: Column, seed: int = 0) -> Column:
     """MurmurHash2 of the UTF-8 bytes of key, from 0 to 2^32 - 1; null for null."""
-    hexed, size = F.hex(F.encode(key, "UTF-8")), F.octet_length(key)
-    byte = lambda at: F.substr(hexed, (at * 2 + 1).cast("int"), F.lit(2))
-    number = lambda text: F.conv(text, 16, 10).cast("long")
-    whole = F.floor(size / 4).cast("int")
-    blocks = F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), lambda i: number(F.concat(byte(i * 4 + 3), byte(i * 4 + 2), byte(i * 4 + 1), byte(i * 4))))).otherwise(F.array().cast("array<bigint>"))
-    start = F.lit(seed).cast("long").bitwiseXOR(size.cast("long"))
-    h = F.aggregate(blocks, start, lambda acc, k: _times(acc).bitwiseXOR(_times(_fold(_times(k), 24))))
-    at, rest = whole * 4, size % 4
-    tail = F.when(rest == 3, number(F.concat(byte(at + 2), byte(at + 1), byte(at)))).when(rest == 2, number(F.concat(byte(at + 1), byte(at)))).when(rest == 1, number(byte(at)))
-    h = F.when(rest > 0, _times(h.bitwiseXOR(tail))).otherwise(h)
-    return F.when(key.isNotNull(), _fold(_times(_fold(h, 13)), 15))
+    return F.when(key.isNotNull(), _bound(F.reverse(F.hex(F.encode(key, "UTF-8"))), lambda digits: _hashed(digits, seed)))
 
 
 def fingerprint(key: Column, bits: int = 12, seed: int = 0) -> Column:
