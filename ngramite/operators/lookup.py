@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fingerprint, murmur2
-from ..sources.scratch import fitting
+from ..sources.scratch import fitting, save
 
 
 def exact(queries: DataFrame, model: DataFrame, key: str = "key") -> DataFrame:
@@ -29,10 +29,13 @@ def formatted(found: DataFrame, key: str = "key") -> DataFrame:
 
 
 def require_unique(model: DataFrame, key: str = "ngram") -> DataFrame:
-    """model; raises if a key occurs twice."""
-    twice = model.groupBy(key).count().where("count > 1").select(key).head()
-    if twice is not None:
-        raise ValueError(f"the key {twice[0]!r} occurs more than once")
+    """model; raises if a key occurs twice. Hashes of 8 bytes are counted; keys move only where a hash occurs twice."""
+    hashed = model.select(F.xxhash64(key).alias("__h"), key)
+    several = save(hashed.groupBy("__h").count().where("count > 1").select("__h"), "repeated")
+    if not several.isEmpty():
+        twice = hashed.join(fitting(several), "__h", "left_semi").groupBy(key).count().where("count > 1").select(key).head()
+        if twice is not None:
+            raise ValueError(f"the key {twice[0]!r} occurs more than once")
     return model
 
 

@@ -18,14 +18,15 @@ def _before(by: str) -> Window:
 def number(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """Adds name: 0, 1, ... in the order of columns that tell all rows apart.
 
-    Rows are range-partitioned and written with their partition's number; a partition's rows are counted, and its first
-    number is the sum of the counts before it, so only one row a partition is in one place.
+    Rows are range-partitioned, sorted and written with their partition's number and their place in it, so they are
+    shuffled once. A partition's first number is the sum of the counts before it: only one row a partition is in one place.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = save(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "placed")
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = save(ordered.withColumn("__at", F.monotonically_increasing_id()), "placed")  # 31 bits of partition, 33 of place
+    placed = placed.withColumn("__part", F.shiftright("__at", 33)).withColumn("__within", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     first = placed.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(_before("__part")), F.lit(0))).drop("__n")
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return placed.withColumn("__within", within).join(F.broadcast(first), "__part").withColumn(name, F.col("__first") + F.col("__within")).drop("__part", "__within", "__first")  # first: a row a partition
+    return placed.join(F.broadcast(first), "__part").withColumn(name, F.col("__first") + F.col("__within")).drop("__at", "__part", "__within", "__first")  # first: a row a partition
 
 
 def running_sum(df: DataFrame, at: str, value: Column, name: str) -> DataFrame:

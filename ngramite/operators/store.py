@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fingerprint
+from ..sources.scratch import fitting, save
 from .lookup import by_fingerprint, require_unique
-from .ranks import number, rank_dense
+from .ranks import distinct_values, number
 
 
 @dataclass
@@ -35,10 +36,10 @@ def build(model: DataFrame, fingerprint_bits: int = 12, rank_bits: int = 20) ->
     """A store of model(ngram, value). Keys that occur twice, and ranks that don't fit rank_bits, are refused."""
     if not 1 <= rank_bits <= 31:
         raise ValueError("a rank has 1 to 31 bits")
-    ranked = rank_dense(require_unique(model))
-    cells = number(ranked, ["ngram"]).select("idx", "ngram", fingerprint(F.col("ngram"), fingerprint_bits).alias("fp"), "rank")
+    values = save(distinct_values(require_unique(model)), "values")
+    cells = number(model.join(fitting(values), "value").drop("value"), ["ngram"]).select("idx", "ngram", fingerprint(F.col("ngram"), fingerprint_bits).alias("fp"), "rank")
     fits = F.when(F.col("rank") >= (1 << rank_bits), F.raise_error(F.lit("a rank doesn't fit its cell"))).otherwise(F.col("rank"))
-    return Store(cells.withColumn("rank", fits), ranked.select("rank", "value").distinct(), fingerprint_bits, rank_bits)
+    return Store(cells.withColumn("rank", fits), values, fingerprint_bits, rank_bits)
 
 
 def load(spark: SparkSession, path: str) -> Store:

@@ -11,7 +11,7 @@ from ..functions.hashing import murmur2 as mm2
 from ..functions.text import key
 from ..operators import bits, counts, language_model, lookup, perfect_hash, ranks, store, tokens
 from ..sources import kv
-from ..sources.scratch import save, scratch_path
+from ..sources.scratch import save, scratch_path, spread
 from ..streaming import queries as streaming
 
 
@@ -20,7 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _said(spark, sf_dir) -> DataFrame:
+    return spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
 
 
 def _bigrams(spark, sf_dir) -> DataFrame:
@@ -42,7 +46,7 @@ def _asked(spark, sf_dir) -> DataFrame:
 
 def _ranked(spark, sf_dir) -> DataFrame:
     """idx, ngram, value, rank."""
-    return ranks.rank_dense(save(ranks.number(_saved(spark, sf_dir), ["ngram"]), "numbered"))
+    return ranks.rank_dense(ranks.number(_saved(spark, sf_dir), ["ngram"]))
 
 
 def _codes(spark, sf_dir) -> DataFrame:
@@ -79,13 +83,13 @@ def kn_model(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     model = save(counts.kn_model(_docs(spark, sf_dir)), "model")
-    asked = tokens.trigrams(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    asked = tokens.trigrams(_said(spark, sf_dir), ["conv_id", "turn"])
     return language_model.score(asked, model, counts.unique_bigrams(model))
 
 
 def kn_lookup_keys(spark, sf_dir):
     model = save(counts.kn_model(_docs(spark, sf_dir)), "model")
-    return language_model.gather(tokens.trigrams(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"]), model)
+    return language_model.gather(tokens.trigrams(_said(spark, sf_dir), ["conv_id", "turn"]), model)
 
 
 def kn_unigram(spark, sf_dir):
@@ -275,12 +279,12 @@ def lookup_formatted(spark, sf_dir):
 
 def _store(spark, sf_dir, f=12):
     built = store.build(_saved(spark, sf_dir), f)
-    return store.Store(save(built.cells, "cells"), save(built.values, "values"), f, built.rank_bits)
+    return store.Store(save(built.cells, "cells"), built.values, f, built.rank_bits)
 
 
 def _strange(spark, sf_dir):
     """key: the bigrams of conversations and benchmark, most of them unseen."""
-    types = counts.window_types(_table(spark, sf_dir, "conversations").select("text").union(_table(spark, sf_dir, "benchmark").select("text")))
+    types = counts.window_types(_said(spark, sf_dir).select("text").union(_table(spark, sf_dir, "benchmark").select("text")))
     return counts.bigram_types(types).select(key("w1", "w2").alias("key"))
 
 
@@ -339,7 +343,7 @@ def stream_lookup(spark, sf_dir):
 
 def stream_perplexity(spark, sf_dir):
     """Each conversation's perplexity as a stream of scored words leaves it."""
-    said = tokens.trigrams(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    said = tokens.trigrams(_said(spark, sf_dir), ["conv_id", "turn"])
     words = said.join(_scored(spark, sf_dir).select("w1", "w2", "w3", "prob"), ["w1", "w2", "w3"]).select(F.col("conv_id").alias("doc_id"), "prob")
     path = scratch_path(spark, "words")
     words.write.parquet(path)

@@ -39,6 +39,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table just read, its rows dealt out if it has fewer splits than there are cores; larger ones stay where they are.
+
+    Small files hold one row group, which one task would read and work on alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(*saved: DataFrame) -> None:
     """Deletes what save() wrote, once nothing reads it any more."""
     for df in saved:
