@@ -7,7 +7,7 @@ from ngramite.functions import codecs
 from ngramite.operators import bits, counts, language_model, lookup, perfect_hash, ranks, store, tokens
 from ngramite.plans import queries as plans
 from ngramite.sources import kv
-from ngramite.sources.scratch import scratch_path
+from ngramite.sources.scratch import scratch_path, spread
 from ngramite.streaming import queries as streaming
 
 DOCS = [(1, "a b c a b"), (2, "  b c\td\n"), (3, ""), (4, None), (5, "a")]
@@ -93,6 +93,20 @@ def test_number_and_running_sum(spark, monkeypatch):
     assert all(r.before == sum(x.id for x in rows[:i]) for i, r in enumerate(rows))
 
 
+def test_spread_deals_out_few_splits_only(spark):
+    cores = spark.sparkContext.defaultParallelism
+    small, large = spark.range(100, numPartitions=1), spark.range(100, numPartitions=cores + 3)
+    assert spread(small).rdd.getNumPartitions() == cores and spread(small).exceptAll(small).count() == 0
+    assert spread(large) is large
+
+
+def test_unique_keys(spark):
+    rows = spark.createDataFrame([("a b",), ("a c",), (None,)], "ngram string")
+    assert lookup.require_unique(rows).count() == 3
+    with pytest.raises(ValueError, match="a c"):
+        lookup.require_unique(rows.union(rows.where("ngram = 'a c'")))
+
+
 def model(spark):
     return spark.createDataFrame([(f"k{i} é", i % 7 + 1) for i in range(500)], "ngram string, value long")
 
