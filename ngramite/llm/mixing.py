@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, save
+from ..operators.ranks import number
+from .common import WORD, fitting, save
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SLOPES = (0.5, 0.0, -0.5)
@@ -26,21 +27,33 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most
     """source, source_size, nth, target: one row for each source of sizes(source, size).
 
     Sources by code point, null last, take the weights in turn. Targets are proportional to weights and sum to share
-    times all sizes, none above most times its source's size: the level l with sum(min(weight * l, cap)) = budget, found
-    by walking over the sources in order of cap / weight. If even the caps don't reach the budget, all are at their caps.
+    times all sizes, none above most times its source's size. If even the caps don't reach the budget, all are at their caps.
+    There may be many sources: they are numbered by ranges, and only sums over them come to the driver.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per = per.withColumn("nth", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    per = per.withColumn("weight", cycle(weights, F.col("nth"))).withColumn("cap", F.col("source_size") * F.lit(most))
-    all_rows = Window.partitionBy(F.lit(0))
-    by_ratio = all_rows.orderBy(F.col("cap") / F.col("weight"), "nth")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("budget", F.sum("source_size").over(all_rows) * F.lit(share))
-    left = F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weight_left = F.sum("weight").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    per = per.withColumn("level", left / weight_left)
-    per = per.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_rows))
-    return per.select("source", "source_size", "nth", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("missing", F.col("source").isNull())
+    per = number(per, ["missing", "source"], "nth").withColumn("weight", cycle(weights, F.col("nth"))).withColumn("cap", (F.col("source_size") * F.lit(most)).cast("double"))
+    per = save(per.drop("missing"), "sources")
+    level = fair_level(per, share)
+    return per.select("source", "source_size", "nth", (F.col("cap") if level is None else F.least(F.lit(level) * F.col("weight"), F.col("cap"))).alias("target"))
+
+
+def fair_level(per: DataFrame, share: float) -> float | None:
+    """The level l at which min(weight * l, cap) sums to share times all source sizes; None if all have to be at their caps.
+
+    What goes beyond the caps is shared anew by weight among the others until no cap is passed. The level only rises, so
+    each round caps at least one source more, and as a rule all but a few of those that will be capped in the first rounds.
+    """
+    level = 0.0
+    while True:
+        capped = F.col("cap") < F.lit(level) * F.col("weight")
+        sums = per.agg(F.sum("source_size"), F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("weight")))).first()
+        size, fixed, weight = (v or 0 for v in sums)
+        if not weight:
+            return None
+        new = (size * share - fixed) / weight
+        if new <= level:
+            return level
+        level = new
 
 
 def offsets(rows: DataFrame, fine: int) -> DataFrame:
@@ -87,7 +100,7 @@ def assign(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, sh
     while cell_rows * 16 ** (fine + COARSE) < n:
         fine += 1
     per = targets(rows.withColumn("size", F.col("size") * F.col("rows")), weights, share, most).withColumn("slope", cycle(slopes, F.col("nth")))
-    placed = offsets(rows, fine).alias("a").join(per.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target", "b.slope")
+    placed = offsets(rows, fine).alias("a").join(fitting(per).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target", "b.slope")
     placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("start", F.col("start") + F.col("nth") * F.col("size"))
     middles = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("start") + e * F.col("source_size") + F.col("size") / F.lit(2.0))
     placed = placed.withColumn("middles", F.when(F.col("size") > 0, F.filter(middles, lambda m: m <= F.col("target"))).otherwise(F.array().cast("array<double>")))

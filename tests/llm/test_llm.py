@@ -400,6 +400,20 @@ def test_mixing(spark):
     assert [r.mix_position for r in out] == sorted(r.mix_position for r in out)
 
 
+@pytest.mark.parametrize("share", [1.5, 2.0, 2.5])
+def test_targets_of_many_sources(spark, share):
+    sizes = {None if i == 7 else f"s{i:03}é"[: 5 - i % 2]: int(n) for i, n in enumerate(np.random.default_rng(2).pareto(0.6, 300) * 10)}
+    rows = spark.createDataFrame([(s, n) for s, size in sizes.items() for n in (size - size // 3, size // 3)], "source string, size long")
+    got = {r.source: r for r in mixing.targets(rows, share=share).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert [got[s].nth for s in order] == list(range(len(order))) and {s: got[s].source_size for s in order} == sizes
+    weight, low, high = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}, 0.0, 1e9
+    for _ in range(200):  # bisection for the level
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(weight[s] * level, 2 * sizes[s]) for s in order) < share * sum(sizes.values()) else (low, level)
+    assert all(got[s].target == pytest.approx(min(weight[s] * high, 2 * sizes[s]), rel=1e-9, abs=1e-6) for s in order)
+
+
 def test_schedule_inverts_demand(spark):
     t = spark.createDataFrame([(float(y), s) for y in np.linspace(0, 50, 11) for s in (0.5, 0.0, -0.5)], "at double, slope double")
     t = t.withColumn("t", mixing.position(F.col("at"), F.lit(50.0), F.col("slope")))
